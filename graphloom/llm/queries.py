@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from graphloom.llm import packing, reading, tokenizer
+from graphloom.llm import packing, reading, tokenizer, validity
 from graphloom.session import table
 
 
+def p4_found(spark, d):
+    return validity.invalid_files(table(spark, d, "file_texts")).select("path")
+
+
+def p4_files(spark, d):
+    return validity.invalid_files(table(spark, d, "file_texts"))
+
+
+def p4_rates(spark, d):
+    return validity.rates(table(spark, d, "file_texts"))
+
+
+def p4_causes(spark, d):
+    return validity.causes(table(spark, d, "file_texts"))
+
+
 def p7_ids(spark, d):
     return tokenizer.encode(table(spark, d, "documents"), keep=["doc_id"])
 
@@ -39,7 +55,7 @@ def p9_profile(spark, d):
     return reading.profile(_levels(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_packed, p8_utilisation, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p4_causes, p7_ids, p7_decoded, p8_packed, p8_utilisation, p9_found, p9_levels, p9_profile)}
 
 SQL = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
