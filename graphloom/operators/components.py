@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
+LOCAL_EDGES = 500_000  # what is left after trimming is finished within one task up to this many edges
+
+
+def _one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of more than one node, by depth-first search with an explicit stack."""
+    out: dict[str, list[str]] = {}
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"]):
+            out.setdefault(a, []).append(b)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    held: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for start in out:
+        if start in order:
+            continue
+        work = [(start, 0)]
+        while work:
+            node, at = work.pop()
+            if at == 0:
+                order[node] = low[node] = len(order)
+                open_.append(node)
+                held.add(node)
+            targets = out.get(node, ())
+            descended = False
+            while at < len(targets):
+                t = targets[at]
+                at += 1
+                if t not in order:
+                    work += [(node, at), (t, 0)]
+                    descended = True
+                    break
+                if t in held:
+                    low[node] = min(low[node], order[t])
+            if descended:
+                continue
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[node])
+            if low[node] == order[node]:
+                part = []
+                while True:
+                    t = open_.pop()
+                    held.discard(t)
+                    part.append(t)
+                    if t == node:
+                        break
+                if len(part) > 1:
+                    name = min(part, key=str.encode)
+                    rows += [(t, name) for t in part]
+    yield pd.DataFrame(rows, columns=["id", "label"])
+
 
 def _spread(edges: DataFrame, labels: DataFrame, least: bool) -> DataFrame:
     """Labels (id, label) carried along the edges (a, b) until nothing changes; the least or greatest one wins."""
@@ -32,13 +87,15 @@ def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
-def strong_components(links: DataFrame) -> DataFrame:
+def strong_components(links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Nodes that lie on a circle, with their component: id, component, in_circle.
 
     ``links`` has src and dst; rows with a null end are ignored and repeats
     count once. ``component`` is the smallest id of the component in byte
-    order. Nodes on no circle are left out. Rounds of forward colouring find,
-    in every colour class, the component of the node that gave the colour.
+    order. Nodes on no circle are left out. Ends that nothing enters or leaves
+    are trimmed. Rounds of forward colouring then find, in every colour class,
+    the component of the node that gave the colour; once at most
+    ``local_edges`` edges are left, one task finishes them.
     """
     edges = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).dropna().distinct()
     edges = cut(edges)
@@ -58,6 +115,10 @@ def strong_components(links: DataFrame) -> DataFrame:
             size = now
         if not size:
             break
+        if size <= local_edges:
+            core = cut(edges.coalesce(1).mapInPandas(_one_task, "id string, label string"))
+            found = core if found is None else cut(found.unionByName(core))
+            break
         ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
         colours = _spread(edges, cut(ids.withColumn("label", F.col("id"))), least=False)
         ca, cb = colours.select(F.col("id").alias("a"), F.col("label").alias("la")), colours.select(F.col("id").alias("b"), F.col("label").alias("lb"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import training_data
+from graphloom.plans import graph_queries, training_data
 
-MODULES = [training_data]
+MODULES = [training_data, graph_queries]
 
 
 def queries() -> dict:
