@@ -105,7 +105,7 @@ def strong_components(links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     while True:
         # what nothing enters, or leaves, lies on no circle
         size = edges.count()
-        while size:
+        while size > local_edges:
             kept = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
             kept = cut(kept.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
             now = kept.count()

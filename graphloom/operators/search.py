@@ -18,7 +18,11 @@ def postings(texts: DataFrame, key: str, columns: dict[str, float]) -> DataFrame
     A term counts in each column times the column's weight, and the length is
     the plain number of terms. Texts without terms have no postings.
     """
-    parts = [F.transform(words(F.coalesce(F.col(c), F.lit(""))), lambda x, w=w: F.struct(x.alias("term"), F.lit(float(w)).alias("w"))) for c, w in columns.items()]
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(words(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
+
+    parts = [weighted(c, w) for c, w in columns.items()]
     terms = texts.select(F.col(key).alias("key"), F.concat(*parts).alias("t")).filter(F.size("t") > 0)
     rows = terms.select("key", F.size("t").alias("length"), F.explode("t").alias("x"))
     return rows.groupBy("key", F.col("x.term").alias("term"), "length").agg(F.sum("x.w").alias("tf"))
