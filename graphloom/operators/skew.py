@@ -54,14 +54,13 @@ def key_results(rows: DataFrame, keys: list[str], distinct_of: str | None, k: in
 
 
 def distinct_occurrences(occurrences: DataFrame, columns: list[str]) -> DataFrame:
-    """Occurrences with exact repeats removed: the given columns, one row per (owner_path, ordinal).
+    """Occurrences with exact repeats removed: the given columns, one row per distinct (owner_path, ordinal, columns).
 
-    (owner_path, ordinal) is the key of the table, so repeats share it; of rows
-    that share it with other values one holds: the greatest. Grouping by the
-    whole key pre-aggregates repeats before the shuffle and leaves no owner hot.
+    Grouping by the table's whole key combines repeats before the shuffle and
+    leaves no owner hot. The result is a written table of the few columns,
+    which the sketch and both kinds of keys read instead of shuffling again.
     """
-    held = occurrences.groupBy("owner_path", "ordinal").agg(F.max(F.struct(*columns)).alias("r"))
-    return held.select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    return cut(occurrences.select("owner_path", "ordinal", *columns).distinct().select(*columns))
 
 
 def edge_key_results(occurrences: DataFrame, with_sources: bool = True) -> DataFrame:
