@@ -22,7 +22,7 @@ def parent_of(path: Column) -> Column:
 def _module_edges(g: Graph) -> DataFrame:
     m = g.nodes.select("id", module_of(F.col("path")).alias("m"))
     a, b = m.select(F.col("id").alias("src"), F.col("m").alias("source")), m.select(F.col("id").alias("dst"), F.col("m").alias("target"))
-    return g.edges.join(a, "src").join(b, "dst").select("source", "target", "kind", "src", "dst", "occurrence_count")
+    return g.keys.join(a, "src").join(b, "dst").select("source", "target", "kind", "src", "dst")
 
 
 def topology(g: Graph) -> DataFrame:
@@ -76,7 +76,7 @@ def directories(g: Graph) -> DataFrame:
 
 def cycles(g: Graph, kinds: tuple[str, ...] = ("calls", "imports")) -> DataFrame:
     """Nodes on circles of the given kinds with the size of their component: component, id, size."""
-    on = strong_components(g.edges.filter(F.col("kind").isin(*kinds)).select("src", "dst"))
+    on = strong_components(g.keys.filter(F.col("kind").isin(*kinds)).select("src", "dst"))
     n = on.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return on.join(n, "component").select("component", "id", "size")
 

@@ -80,7 +80,7 @@ def by_directory(cov: DataFrame) -> DataFrame:
 def index_counts(g: Graph) -> DataFrame:
     """One row of totals: n_nodes, n_edges, n_occurrences, n_files, n_external, n_unresolved."""
     n = g.nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("owner_path").alias("n_files"))
-    e = g.edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    e = g.keys.agg(F.count(F.lit(1)).alias("n_edges"))
     o = g.occurrences.agg(F.count(F.lit(1)).alias("n_occurrences"), F.count_if(F.col("dst").startswith("external:")).alias("n_external"), F.count_if(F.col("dst").isNull()).alias("n_unresolved"))
     return n.crossJoin(e).crossJoin(o)  # one row each
 

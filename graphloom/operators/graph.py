@@ -24,11 +24,17 @@ CALLABLE = ("function", "method")
 
 @dataclass(frozen=True)
 class Graph:
-    """Facts of one index: nodes (a row per id), occurrences (repeats removed) and the edges made of them."""
+    """Facts of one index: nodes (a row per id), occurrences (repeats removed), the edges made of them and the edges' keys.
+
+    ``keys`` is (src, kind, dst) straight from the rows: what needs no counts
+    or evidence takes it, as it needs neither the repeats removed nor wide rows
+    shuffled, and a filter on the kind reaches the scan.
+    """
 
     nodes: DataFrame
     occurrences: DataFrame
     edges: DataFrame
+    keys: DataFrame
 
 
 def edge_table(occurrences: DataFrame) -> DataFrame:
@@ -46,8 +52,9 @@ def edge_table(occurrences: DataFrame) -> DataFrame:
 def graph(nodes: DataFrame, occurrences: DataFrame) -> Graph:
     """A graph from its fact tables; exact repeats of rows are removed, nodes without an id left out."""
     once = nodes.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
-    occ = occurrences.select("owner_path", "ordinal", "src", "kind", "dst", "line", "evidence", "confidence").dropDuplicates(["owner_path", "ordinal"])
-    return Graph(once, occ, edge_table(occ))
+    occ = occurrences.select("owner_path", "ordinal", "src", "kind", "dst", "line", "evidence", "confidence").distinct()
+    keys = occurrences.select("src", "kind", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    return Graph(once, occ, edge_table(occ), keys)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
@@ -80,7 +87,7 @@ def described_edges(g: Graph) -> DataFrame:
 def dangling(g: Graph) -> DataFrame:
     """Edges whose source, or whose target other than an external symbol, is no node: src, kind, dst."""
     ids = g.nodes.select("id")
-    e = g.edges.select("src", "kind", "dst")
+    e = g.keys
     no_src = e.join(ids, e["src"] == ids["id"], "left_anti")
     inner = e.filter(~F.col("dst").startswith("external:"))
     no_dst = inner.join(ids, inner["dst"] == ids["id"], "left_anti")
@@ -89,8 +96,8 @@ def dangling(g: Graph) -> DataFrame:
 
 def neighbours(g: Graph) -> DataFrame:
     """Both directions of every edge: id, other, kind, direction."""
-    out = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "kind", F.lit("out").alias("direction"))
-    back = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "kind", F.lit("in").alias("direction"))
+    out = g.keys.select(F.col("src").alias("id"), F.col("dst").alias("other"), "kind", F.lit("out").alias("direction"))
+    back = g.keys.select(F.col("dst").alias("id"), F.col("src").alias("other"), "kind", F.lit("in").alias("direction"))
     return out.unionByName(back)
 
 

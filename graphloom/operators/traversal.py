@@ -68,7 +68,7 @@ def impact(g: Graph, seeds: DataFrame, depth: int = 3, inbound: bool = True, mod
     ``frontier_cap`` refuses a traversal deeper than one level whose first
     level is larger, the way an interactive caller wants it.
     """
-    step = cut(steps(g.edges, inbound, mode, edge_types))
+    step = cut(steps(g.keys, inbound, mode, edge_types))
     if frontier_cap is not None and depth > 1:
         first = step.join(seeds.select(F.col("id").alias("a")).distinct(), "a").select("b").distinct().count()
         if first > frontier_cap:
@@ -107,7 +107,7 @@ def implementations(g: Graph) -> DataFrame:
     own implementation.
     """
     types = g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select("id")
-    up = g.edges.filter(F.col("kind").isin(*SUBTYPING)).select(F.col("dst").alias("base"), F.col("src").alias("id")).distinct()
+    up = g.keys.filter(F.col("kind").isin(*SUBTYPING)).select(F.col("dst").alias("base"), F.col("src").alias("id")).distinct()
     up = up.join(types, "id", "left_semi").join(types.select(F.col("id").alias("base")), "base", "left_semi")
     up = cut(up.filter("base <> id"))
     seen, front = up, up
@@ -121,7 +121,7 @@ def implementations(g: Graph) -> DataFrame:
 
 def public_untested(g: Graph) -> DataFrame:
     """Public non-test nodes that no test reaches over calls: id, kind, path."""
-    step = cut(g.edges.filter("kind = 'calls'").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    step = cut(g.keys.filter("kind = 'calls'").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     tested = closure(step, g.nodes.filter("is_test").select("id"))
     return g.nodes.filter(is_public() & ~F.coalesce("is_test", F.lit(False))).join(tested, "id", "left_anti").select("id", "kind", "path")
 
@@ -131,7 +131,7 @@ def shortest_paths(g: Graph, seeds: DataFrame, depth: int = 3, kinds: tuple[str,
 
     Of paths of equal length the least sequence of ids holds.
     """
-    e = g.edges.filter(F.col("kind").isin(*kinds))
+    e = g.keys.filter(F.col("kind").isin(*kinds))
     step = e.select(F.col("dst").alias("a"), F.col("src").alias("b")) if inbound else e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     step = cut(step.distinct())
     seen = cut(seeds.select("id").dropna().distinct().select("id", F.lit(0).alias("distance"), F.array("id").alias("path")))
@@ -147,7 +147,7 @@ def shortest_paths(g: Graph, seeds: DataFrame, depth: int = 3, kinds: tuple[str,
 
 def covering_tests(g: Graph, kinds: tuple[str, ...]) -> DataFrame:
     """Test nodes that reach a node in one or two steps: id, test, hops (the least)."""
-    e = cut(g.edges.filter(F.col("kind").isin(*kinds)).select("src", "dst").distinct())
+    e = cut(g.keys.filter(F.col("kind").isin(*kinds)).select("src", "dst").distinct())
     tests = g.nodes.filter("is_test").select(F.col("id").alias("test"))
     one = e.join(tests, e["src"] == tests["test"]).select(F.col("dst").alias("id"), "test", F.lit(1).alias("hops"))
     one = cut(one)

@@ -13,14 +13,14 @@ from graphloom.operators.traversal import callable_nodes
 def untested(g: Graph, scope: str = "") -> DataFrame:
     """Functions and methods outside tests that no test calls directly: id, name, path."""
     tests = g.nodes.filter("is_test").select(F.col("id").alias("src"))
-    called = g.edges.filter("kind = 'calls'").join(tests, "src", "left_semi").select(F.col("dst").alias("id"))
+    called = g.keys.filter("kind = 'calls'").join(tests, "src", "left_semi").select(F.col("dst").alias("id"))
     own = callable_nodes(g).filter(~F.coalesce("is_test", F.lit(False)) & within(F.col("path"), scope))
     return own.join(called, "id", "left_anti").select("id", "name", "path")
 
 
 def unwired(g: Graph) -> DataFrame:
     """Functions and methods that nothing calls and that are no entrypoint: id, name, path."""
-    called = g.edges.filter("kind = 'calls'").select(F.col("dst").alias("id"))
+    called = g.keys.filter("kind = 'calls'").select(F.col("dst").alias("id"))
     return callable_nodes(g).filter(detail("entrypoint").isNull()).join(called, "id", "left_anti").select("id", "name", "path")
 
 
@@ -39,7 +39,7 @@ def removal(g: Graph, scopes: DataFrame) -> DataFrame:
     and kinds stored against their meaning are read backwards.
     """
     s = scopes.select("scope", "id").distinct()
-    real = g.edges.filter(~F.col("kind").isin("contains", "references_doc"))
+    real = g.keys.filter(~F.col("kind").isin("contains", "references_doc"))
     ahead = real.filter(~F.col("kind").isin(*REVERSE)).select(F.col("src").alias("user"), F.col("dst").alias("id"))
     back = real.filter(F.col("kind").isin(*REVERSE)).select(F.col("dst").alias("user"), F.col("src").alias("id"))
     uses = ahead.unionByName(back).distinct().join(s, "id")
@@ -53,8 +53,8 @@ def governing(g: Graph) -> DataFrame:
 
     A governor that is direct is not listed as transitive too.
     """
-    direct = g.edges.filter("kind = 'governs'").select(F.col("dst").alias("id"), F.col("src").alias("governor")).distinct()
-    calls = g.edges.filter("kind = 'calls'").select(F.col("src").alias("id"), F.col("dst").alias("callee")).distinct()
+    direct = g.keys.filter("kind = 'governs'").select(F.col("dst").alias("id"), F.col("src").alias("governor")).distinct()
+    calls = g.keys.filter("kind = 'calls'").select(F.col("src").alias("id"), F.col("dst").alias("callee")).distinct()
     far = calls.join(direct.select(F.col("id").alias("callee"), "governor"), "callee").select("id", "governor").distinct().join(direct, ["id", "governor"], "left_anti")
     return direct.withColumn("relation", F.lit("direct")).unionByName(far.withColumn("relation", F.lit("transitive")))
 
@@ -68,8 +68,8 @@ def governing_page(g: Graph, top: int = 5) -> DataFrame:
 
 def related_documents(g: Graph) -> DataFrame:
     """Documents by node, from either direction of the documentation kinds: id, document."""
-    d = g.edges.filter(F.col("kind").isin("documents", "governs")).select(F.col("dst").alias("id"), F.col("src").alias("document"))
-    b = g.edges.filter(F.col("kind") == "governed_by").select(F.col("src").alias("id"), F.col("dst").alias("document"))
+    d = g.keys.filter(F.col("kind").isin("documents", "governs")).select(F.col("dst").alias("id"), F.col("src").alias("document"))
+    b = g.keys.filter(F.col("kind") == "governed_by").select(F.col("src").alias("id"), F.col("dst").alias("document"))
     return d.unionByName(b).distinct()
 
 
@@ -83,12 +83,12 @@ def explain(g: Graph, ids: DataFrame) -> DataFrame:
 
 def containers(g: Graph) -> DataFrame:
     """The innermost container of each node: id, container (the least source of its contains edges)."""
-    return g.edges.filter("kind = 'contains'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("container"))
+    return g.keys.filter("kind = 'contains'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("container"))
 
 
 def call_previews(g: Graph, top: int = 5) -> DataFrame:
     """The first callers of each node in byte order, as one list, with their number: id, n_callers, callers."""
-    calls = g.edges.filter("kind = 'calls'").select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
+    calls = g.keys.filter("kind = 'calls'").select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
     w = Window.partitionBy("id").orderBy("caller")
     ranked = calls.withColumn("rank", F.row_number().over(w))
     lists = ranked.filter(F.col("rank") <= top).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "caller"))), lambda x: x["caller"]), ", ").alias("callers"))
@@ -98,14 +98,14 @@ def call_previews(g: Graph, top: int = 5) -> DataFrame:
 def outside_callers(g: Graph) -> DataFrame:
     """Files with non-test callers of each callable: id, n_files; 0 where it is indexed but not called."""
     callers = g.nodes.filter(~F.coalesce("is_test", F.lit(False))).select(F.col("id").alias("src"), F.col("path").alias("caller_path"))
-    called = g.edges.filter("kind = 'calls'").join(callers, "src").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("caller_path").alias("n_files"))
+    called = g.keys.filter("kind = 'calls'").join(callers, "src").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("caller_path").alias("n_files"))
     return callable_nodes(g).select("id").join(called, "id", "left").select("id", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
 def signals(g: Graph) -> DataFrame:
     """Counts per file that a reader is shown: path, n_nodes, n_edges, n_callers, n_implementations, n_invariants."""
     own = g.nodes.select(F.col("id").alias("dst"), F.col("path").alias("at"))
-    e = g.edges.join(own, "dst").groupBy(F.col("at").alias("path")).agg(
+    e = g.keys.join(own, "dst").groupBy(F.col("at").alias("path")).agg(
         F.count(F.lit(1)).alias("n_edges"),
         F.count_if(F.col("kind") == "calls").alias("n_callers"),
         F.count_if(F.col("kind").isin("inherits", "implements", "extends")).alias("n_implementations"),

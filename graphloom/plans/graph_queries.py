@@ -188,7 +188,7 @@ def _module_tasks(g):
     home = g.nodes.select("id", F.concat(F.lit("component:"), F.substring_index("path", "/", 2)).alias("c"))
     a, b = home.select(F.col("id").alias("src"), F.col("c").alias("x")), home.select(F.col("id").alias("dst"), F.col("c").alias("y"))
     # later components need earlier ones that they refer to, which leaves no circle
-    return m, g.edges.join(a, "src").join(b, "dst").filter("x > y").select(F.col("x").alias("id"), F.col("y").alias("needs")).distinct()
+    return m, g.keys.join(a, "src").join(b, "dst").filter("x > y").select(F.col("x").alias("id"), F.col("y").alias("needs")).distinct()
 
 
 @query(
