@@ -10,7 +10,6 @@ stream of any size is worked on in many small groups.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import normal_digest, normal_path
 from graphloom.operators.snapshots import holding_rows, snapshot_list
-from graphloom.session import cut
+from graphloom.session import Folder, cut
 
 BLOCK = 1 << 16
 STREAMS = 4096
@@ -117,7 +116,7 @@ def pending_files(inventory: DataFrame, files: DataFrame, runs: DataFrame) -> Da
 class Ledger:
     """Exactly-once runs over numbered records, with output and progress committed together.
 
-    ``root`` is a folder on a file system with atomic rename. A run writes its
+    ``root`` is a folder that driver and executors share. A run writes its
     output and its processed intervals under a fresh attempt folder and then
     publishes one manifest naming both. A run that dies before that leaves
     nothing visible, and the next run finds the same gaps again. Manifests are
@@ -126,18 +125,12 @@ class Ledger:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(os.path.join(root, "manifests"), exist_ok=True)
-
-    def _manifests(self) -> list[str]:
-        return sorted(x for x in os.listdir(os.path.join(self.root, "manifests")) if x.endswith(".json"))
+        self.spark, self.root = spark, root.rstrip("/")
+        self.manifests = Folder(spark, f"{self.root}/manifests")
 
     def _latest(self) -> dict:
-        names = self._manifests()
-        if not names:
-            return {"no": 0, "outputs": [], "intervals": None}
-        with open(os.path.join(self.root, "manifests", names[-1])) as f:
-            return json.load(f)
+        names = [n for n in self.manifests.names() if n.endswith(".json")]
+        return json.loads(self.manifests.read(names[-1])) if names else {"no": 0, "outputs": [], "intervals": None}
 
     def processed(self) -> DataFrame:
         """Disjoint processed intervals: stream, block, lo, hi."""
@@ -159,7 +152,7 @@ class Ledger:
         tests of recovery.
         """
         state = self._latest()
-        attempt = os.path.join(self.root, f"attempt-{uuid.uuid4().hex}")
+        attempt = f"{self.root}/attempt-{uuid.uuid4().hex}"
         numbers = records.select(F.col("stream").cast("string").alias("stream"), "seq")
         available, processed = intervals(numbers), self.processed()
         todo = gaps(available, processed)
@@ -169,9 +162,5 @@ class Ledger:
             raise RuntimeError("stopped before the commit")
         no = state["no"] + 1
         body = {"no": no, "outputs": [*state["outputs"], attempt + "/output"], "intervals": attempt + "/intervals"}
-        final, staged = os.path.join(self.root, "manifests", f"{no:012d}.json"), attempt + ".json"
-        with open(staged, "w") as f:
-            json.dump(body, f)
-        os.link(staged, final)  # fails if the number is taken
-        os.unlink(staged)
+        self.manifests.publish(f"{no:012d}.json", json.dumps(body))
         return no

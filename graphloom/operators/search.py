@@ -128,3 +128,19 @@ def declared_types(nodes: DataFrame) -> DataFrame:
     sig = F.get_json_object("details", "$.signature")
     got = F.trim(F.regexp_replace(F.regexp_extract(sig, "\\)\\s*(?:->|:)\\s*([^{]+)", 1), "\\s+where\\s.*$", ""))
     return nodes.select("id", got.alias("return_type")).filter(F.col("return_type") != "")
+
+
+def taking_or_returning(nodes: DataFrame, returns: str | None = None, takes: str | None = None) -> DataFrame:
+    """Symbols by the types they declare, letters' case aside, * for any run: id.
+
+    Return types stand in ``details.return_type``, parameter types in the
+    values of ``details.param_types``; broken or missing details match nothing.
+    """
+    like = lambda t: t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
+    keep = F.lit(True)
+    if returns is not None:
+        keep = keep & F.coalesce(F.get_json_object("details", "$.return_type").ilike(like(returns)), F.lit(False))
+    if takes is not None:
+        types = F.map_values(F.from_json(F.get_json_object("details", "$.param_types"), "map<string,string>"))
+        keep = keep & F.coalesce(F.exists(types, lambda x: x.ilike(like(takes))), F.lit(False))
+    return nodes.filter(keep).select("id")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +51,51 @@ def drop(df: DataFrame) -> None:
         if root in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Folder:
+    """Small text files of a folder on any file system that Spark can reach, published by atomic rename."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = self.jvm.org.apache.hadoop.fs.Path(root)
+        self.fs = self.path.getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+        self.gateway = spark.sparkContext._gateway
+
+    def _at(self, name: str):
+        return self.fs.makeQualified(self.jvm.org.apache.hadoop.fs.Path(self.path, name))
+
+    def names(self) -> list[str]:
+        """Names of the published files, sorted."""
+        if not self.fs.exists(self.path):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self.fs.listStatus(self.path)) if not n.startswith("."))
+
+    def read(self, name: str) -> str | None:
+        """The text of a file; None if there is none of that name."""
+        if not self.fs.exists(self._at(name)):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str, replace: bool = False) -> None:
+        """Makes a file visible as a whole; FileExistsError if its name is taken and ``replace`` is false."""
+        staged = self._at(f".staged-{uuid.uuid4().hex}")
+        stream = self.fs.create(staged, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if replace else rename.NONE
+        try:
+            self.context.rename(staged, self._at(name), how)
+        except Py4JJavaError as e:
+            self.fs.delete(staged, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise FileExistsError(name) from None
+            raise

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import extension, glob_pattern
+from graphloom.session import Folder
 
 # Languages by file ending.
 ENDINGS = {
@@ -94,23 +95,17 @@ def publish(tables: dict[str, DataFrame], root: str, generation: str, expected:
     Readers see the old generation or the new one, never a mixture. With
     ``expected`` the pointer must still name that generation.
     """
-    at = os.path.join(root, f"gen-{generation}-{uuid.uuid4().hex[:8]}")
+    spark = next(iter(tables.values())).sparkSession
+    at = f"{root.rstrip('/')}/gen-{generation}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        df.write.parquet(os.path.join(at, name))
-    pointer = os.path.join(root, "CURRENT")
-    if expected is not None and current(root).get("generation") != expected:
+        df.write.parquet(f"{at}/{name}")
+    if expected is not None and current(spark, root).get("generation") != expected:
         raise RuntimeError("another generation was published")
-    staged = f"{pointer}-{uuid.uuid4().hex}"
-    with open(staged, "w") as f:
-        json.dump({"generation": generation, "path": at}, f)
-    os.replace(staged, pointer)
+    Folder(spark, root).publish("CURRENT", json.dumps({"generation": generation, "path": at}), replace=True)
     return at
 
 
-def current(root: str) -> dict:
+def current(spark: SparkSession, root: str) -> dict:
     """What the pointer names; empty before the first generation."""
-    try:
-        with open(os.path.join(root, "CURRENT")) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return {}
+    text = Folder(spark, root).read("CURRENT")
+    return {} if text is None else json.loads(text)

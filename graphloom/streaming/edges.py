@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +20,14 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int)
     that old or new rows of these owners touch are made anew. Within a batch
     repeats count once.
     """
-    state = current(root)
+    state = current(spark, root)
     if state and int(state["generation"]) >= batch_id:
         return
     new = batch.dropDuplicates(["owner_path", "ordinal"])
     owners = new.select("owner_path").distinct()
     if state:
-        old = spark.read.parquet(os.path.join(state["path"], "occurrences"))
-        edges = spark.read.parquet(os.path.join(state["path"], "edges"))
+        old = spark.read.parquet(state["path"] + "/occurrences")
+        edges = spark.read.parquet(state["path"] + "/edges")
         every = old.join(owners, "owner_path", "left_anti").unionByName(new)
         key = ["src", "kind", "dst"]
         touched = old.join(owners, "owner_path", "left_semi").select(*key).unionByName(new.select(*key)).dropna().distinct()

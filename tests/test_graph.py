@@ -147,10 +147,10 @@ def test_stream_equals_batch(spark, tmp_path):
     from graphloom.sources.workspace import current
 
     final = spark.createDataFrame([x for x in one if x[0] != "f3"] + two, schema)
-    at = current(root)["path"]
+    at = current(spark, root)["path"]
     assert rows(spark.read.parquet(at + "/edges")) == rows(graph.edge_table(final))
     stream.apply_batch(spark, root, final.limit(0), 0)
-    assert current(root)["path"] == at
+    assert current(spark, root)["path"] == at
 
 
 def test_streaming_windows(spark, tmp_path, small):

@@ -34,7 +34,7 @@ def test_publish_swaps_the_pointer(spark, tmp_path):
     df = spark.range(3)
     workspace.publish({"t": df}, str(tmp_path), "1")
     workspace.publish({"t": df.union(df)}, str(tmp_path), "2", expected="1")
-    assert spark.read.parquet(workspace.current(str(tmp_path))["path"] + "/t").count() == 6
+    assert spark.read.parquet(workspace.current(spark, str(tmp_path))["path"] + "/t").count() == 6
     with pytest.raises(RuntimeError):
         workspace.publish({"t": df}, str(tmp_path), "3", expected="1")
 
@@ -86,3 +86,12 @@ def test_bm25_order_and_empty_query(spark):
     got = search.search_documents(docs, "the graph guide", top=5).collect()
     assert [r["key"] for r in got] == [1, 2]
     assert search.search_documents(docs, "?!").count() == 0
+
+
+def test_declared_types(spark):
+    data = [("a", '{"signature": "fn a(x: u8) -> Vec<T> where T: C", "return_type": "Vec<T>", "param_types": {"x": "u8"}}'), ("b", "{broken"), ("c", None), ("d", '{"param_types": {"y": "Big_Type"}}')]
+    df = spark.createDataFrame(data, "id string, details string")
+    assert rows(search.declared_types(df)) == [("a", "Vec<T>")]
+    assert rows(search.taking_or_returning(df, returns="vec*")) == [("a",)]
+    assert rows(search.taking_or_returning(df, takes="big_type")) == [("d",)]
+    assert rows(search.taking_or_returning(df, returns="*", takes="u8")) == [("a",)]
