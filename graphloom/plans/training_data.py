@@ -127,6 +127,17 @@ SELECT min(b.dst) AS loop_id, a.src AS node_id FROM reach a JOIN reach b ON b.sr
   SELECT id, id AS descendant, CAST(0 AS BIGINT) AS distance FROM walk WHERE id LIKE 'component:%'
   UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)
 SELECT id, descendant, distance FROM below WHERE distance > 0""",
+    "p3_tree": f"""WITH RECURSIVE {_LINKS},
+up AS (SELECT dst AS id, min(src) AS parent FROM links GROUP BY dst),
+ids AS (SELECT src AS id FROM links UNION SELECT dst FROM links),
+walk AS (
+  SELECT id, CAST(NULL AS VARCHAR) AS parent, id AS root, CAST(0 AS BIGINT) AS depth, [id] AS steps FROM ids WHERE id NOT IN (SELECT id FROM up)
+  UNION ALL
+  SELECT u.id, u.parent, w.root, w.depth + 1, list_append(w.steps, u.id) FROM up u JOIN walk w ON w.id = u.parent),
+below AS (SELECT id, count(*) - 1 AS descendants FROM (SELECT unnest(steps) AS id FROM walk) GROUP BY id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY steps) AS lo FROM walk JOIN below USING (id))
+SELECT id, parent, root, depth, array_to_string(steps, ' > ') AS path, lo, lo + descendants AS hi, descendants, 'tree' AS state FROM placed
+UNION ALL SELECT id, parent, NULL, NULL, NULL, NULL, NULL, NULL, 'unprocessed' FROM ids LEFT JOIN up USING (id) WHERE id NOT IN (SELECT id FROM walk)""",
     "p5_found": f"WITH o AS ({_DISTINCT}) SELECT kind, dst FROM o WHERE dst IS NOT NULL GROUP BY kind, dst HAVING count(*) * 100 >= (SELECT count(*) FROM o)",
     "p5_keys": f"SELECT kind, dst, count(*) AS n_rows, count(DISTINCT src) AS n_distinct FROM ({_DISTINCT}) GROUP BY kind, dst",
 }
