@@ -40,17 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.cut_at = at
+    return out
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`cut` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, root = spark.sparkContext._jvm, shared_dir(spark).split("://")[-1]
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the table behind what :func:`cut` returned; for rounds whose successor is written."""
+    at = getattr(df, "cut_at", None)
+    if at is not None:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Folder:
