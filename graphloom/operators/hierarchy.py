@@ -154,3 +154,14 @@ def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     tops = tops.select("id", "root", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("depth").alias("top_depth"), F.explode(F.sequence(block, F.floor(F.col("hi") / size))).alias("block"))
     nodes = tree.filter(F.col("state") == "tree").select(F.col("id").alias("descendant"), "root", block.alias("block"), F.col("lo").alias("at"), "depth")
     return tops.join(nodes, ["root", "block"]).filter((F.col("at") > F.col("a")) & (F.col("at") <= F.col("b"))).select("id", "descendant", (F.col("depth") - F.col("top_depth")).alias("distance"))
+
+
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """Descendants of every node of the trees: id, descendant, distance.
+
+    A node's path already lists all its ancestors, so nothing is joined and the
+    work is the number of pairs, whatever the sizes of the trees.
+    """
+    above = F.slice("path", 1, F.col("depth").cast("int"))
+    pairs = tree.filter(F.col("state") == "tree").select(F.col("id").alias("descendant"), "depth", F.posexplode(above).alias("at", "ancestor"))
+    return pairs.select(F.col("ancestor").alias("id"), "descendant", (F.col("depth") - F.col("at")).alias("distance"))

@@ -43,6 +43,11 @@ def p3_descendants(spark, d):
     return hierarchy.descendants_of(tree, tree.filter(F.col("id").startswith("component:")).select("id"))
 
 
+def p3_all_descendants(spark, d):
+    """Descendants of every node; p3_descendants gives those of components only."""
+    return hierarchy.all_descendants(hierarchy.hierarchy(hierarchy.containment_links(table(spark, d, "edge_occurrences"))))
+
+
 def p5_found(spark, d):
     return skew.dominant_keys(table(spark, d, "edge_occurrences")).select("kind", "dst")
 
@@ -77,7 +82,7 @@ def p6_failed(spark, d):
     return drift.typed_values(_p6(spark, d)[1]).groupBy("path", "target").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_counts, p2_found, p2_pending, p3_found, p3_tree, p3_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_counts, p2_found, p2_pending, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
 
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/(\.?/)+', '/', 'g'), '^(\./+)+', '')"
 _HELD = rf"""named AS (
@@ -126,6 +131,10 @@ SELECT min(b.dst) AS loop_id, a.src AS node_id FROM reach a JOIN reach b ON b.sr
     "p3_descendants": f"""{_TREE}, below AS (
   SELECT id, id AS descendant, CAST(0 AS BIGINT) AS distance FROM walk WHERE id LIKE 'component:%'
   UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)
+SELECT id, descendant, distance FROM below WHERE distance > 0""",
+    "p3_all_descendants": f"""{_TREE}, below AS (
+  SELECT id, id AS descendant, CAST(0 AS BIGINT) AS distance FROM walk
+  UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)
 SELECT id, descendant, distance FROM below WHERE distance > 0""",
     "p3_tree": f"""WITH RECURSIVE {_LINKS},
 up AS (SELECT dst AS id, min(src) AS parent FROM links GROUP BY dst),
