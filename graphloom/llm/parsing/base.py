@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 
@@ -16,9 +17,6 @@ class Panic(Exception):
     """Raised at an error; the statement loop records it and recovers."""
 
 
-MAX_ISSUES = 1000  # a parser that meets this many errors stops looking for more
-
-
 class Tokens:
     """Kinds, texts and positions; the kind of an operator or keyword is its text."""
 
@@ -76,6 +74,7 @@ class Parser:
         self.source, self.k, self.t, self.p, self.g = source, tokens.kind, tokens.text, tokens.pos, tokens.gap
         self.i = 0
         self.issues: list[SyntaxIssue] = []
+        self.breaks: list[int] | None = None  # where lines end, found at the first error
 
     def at(self, *kinds: str) -> bool:
         return self.k[self.i] in kinds
@@ -107,11 +106,12 @@ class Parser:
         raise Panic(cause)
 
     def line(self) -> int:
-        return self.source.count("\n", 0, self.p[min(self.i, len(self.p) - 1)]) + 1
+        if self.breaks is None:
+            self.breaks = [m.start() for m in re.finditer("\n", self.source)]
+        return bisect_left(self.breaks, self.p[min(self.i, len(self.p) - 1)]) + 1
 
     def record(self, cause: object) -> None:
-        if len(self.issues) < MAX_ISSUES:
-            self.issues.append(SyntaxIssue(self.line(), str(cause)))
+        self.issues.append(SyntaxIssue(self.line(), str(cause)))
 
     def guarded(self, statement, stop: tuple[str, ...] = ()) -> None:
         """Runs a statement; after an error, skips to where another may start."""

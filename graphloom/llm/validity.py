@@ -21,6 +21,7 @@ from graphloom.llm.parsing.base import SyntaxIssue
 CHECKS = {"py": python_.check, "rs": rust.check, "ts": typescript.check, "go": go.check, "json": json_.check, "toml": toml_.check, "sql": sql.check, "md": lambda source: []}
 LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "go": "go", "json": "json", "toml": "toml", "sql": "sql", "md": "markdown"}
 DEPTH = 20_000  # Python frames a parser may nest
+HELD = 100_000  # errors after which a worker hands over its rows, as a file may have any number
 
 
 def issues(path: str, content: str | None) -> list[SyntaxIssue] | None:
@@ -52,23 +53,31 @@ def parsed(texts: DataFrame, partitions: int | None = None) -> DataFrame:
     schema = "path string, language string, valid boolean, n_errors long, first_line long, first_cause string, errors array<struct<line:bigint,cause:string>>"
     error = pa.list_(pa.struct([("line", pa.int64()), ("cause", pa.string())]))
 
+    def part(paths: list[str], found: list[list[SyntaxIssue] | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(paths, pa.string()),
+                pa.array([LANGUAGES.get(p.rpartition(".")[2].lower()) for p in paths], pa.string()),
+                pa.array([None if x is None else not x for x in found], pa.bool_()),
+                pa.array([0 if x is None else len(x) for x in found], pa.int64()),
+                pa.array([x[0].line if x else None for x in found], pa.int64()),
+                pa.array([x[0].cause if x else None for x in found], pa.string()),
+                pa.array([[{"line": y.line, "cause": y.cause} for y in x or []] for x in found], error),
+            ],
+            names=["path", "language", "valid", "n_errors", "first_line", "first_cause", "errors"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 paths, contents = (batch.column(i).slice(at, 500).to_pylist() for i in (0, 1))
-                found = [issues(p, c) for p, c in zip(paths, contents)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(paths, pa.string()),
-                        pa.array([LANGUAGES.get(p.rpartition(".")[2].lower()) for p in paths], pa.string()),
-                        pa.array([None if x is None else not x for x in found], pa.bool_()),
-                        pa.array([0 if x is None else len(x) for x in found], pa.int64()),
-                        pa.array([x[0].line if x else None for x in found], pa.int64()),
-                        pa.array([x[0].cause if x else None for x in found], pa.string()),
-                        pa.array([[{"line": y.line, "cause": y.cause} for y in x or []] for x in found], error),
-                    ],
-                    names=["path", "language", "valid", "n_errors", "first_line", "first_cause", "errors"],
-                )
+                found, start, held = [], 0, 0
+                for k, (p, c) in enumerate(zip(paths, contents)):
+                    found.append(issues(p, c))
+                    held += len(found[-1] or ())
+                    if held >= HELD or k + 1 == len(paths):
+                        yield part(paths[start : k + 1], found)
+                        found, start, held = [], k + 1, 0
 
     return rows.repartition(partitions).mapInArrow(run, schema)
 
