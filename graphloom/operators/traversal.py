@@ -7,11 +7,12 @@ plans of those before it, and a lost executor costs one level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import name_parts, words
 from graphloom.operators.graph import CALLABLE, DATA_FLOW, FORWARD, REVERSE, STRUCTURAL, SUBTYPING, TYPE_KINDS, Graph, detail, is_public
-from graphloom.session import cut
+from graphloom.session import cut, drop
 
 
 def kinds_of(mode: str = "calls", edge_types: list[str] | None = None) -> tuple[set[str], set[str]]:
@@ -145,6 +146,78 @@ def shortest_paths(g: Graph, seeds: DataFrame, depth: int = 3, kinds: tuple[str,
     return seen.select("id", "distance", F.array_join("path", " > ").alias("path"))
 
 
+def call_paths(g: Graph, selected: DataFrame, inbound: bool) -> DataFrame:
+    """The least shortest path over calls between each selected node and every node it meets: id, other, distance, path.
+
+    Inbound, paths lead from the caller to the selected node, else from it on.
+    Of equal lengths the least sequence of (path, line, id) holds. No depth is
+    set: rounds end when none brings a new pair, so circles end too.
+    """
+    key = g.nodes.select(F.col("id").alias("b"), F.struct("path", "line", "id").alias("key"))
+    calls = g.keys.filter("kind = 'calls'").select(*((F.col("dst").alias("a"), F.col("src").alias("b")) if inbound else (F.col("src").alias("a"), F.col("dst").alias("b")))).distinct()
+    step = cut(calls.join(key, "b"))
+    seen = cut(selected.select(F.col("id").alias("b")).distinct().join(key, "b").select(F.col("b").alias("id"), F.col("b").alias("other"), F.lit(0).alias("distance"), F.array("key").alias("path")))
+    front, parts, d = seen, [seen], 0
+    while front.limit(1).count():
+        d += 1
+        longer = F.concat(F.array("key"), "path") if inbound else F.concat("path", F.array("key"))
+        sent = front.join(step, F.col("other") == F.col("a")).groupBy("id", F.col("b").alias("other")).agg(F.min(longer).alias("path"))
+        front = cut(sent.join(seen.select("id", "other"), ["id", "other"], "left_anti").select("id", "other", F.lit(d).alias("distance"), "path"))
+        parts.append(front)
+        seen = seen.unionByName(front)
+        if len(parts) > 8:  # one table again, as plans over many rounds fill the driver
+            seen = cut(seen)
+            for x in parts:
+                if x is not front:
+                    drop(x)
+            parts = [seen]
+    return seen.filter("distance > 0").withColumn("path", F.array_join(F.col("path.id"), " > "))
+
+
+def is_test_case() -> Column:
+    """Whether a node is a test whose details give it the role of a test case."""
+    return F.coalesce(F.col("is_test") & (detail("test_role") == "test_case"), F.lit(False))
+
+
+def lexical_tests(symbols: DataFrame, cases: DataFrame) -> DataFrame:
+    """Test cases that the names suggest for symbols (id, name): id, other.
+
+    A test case must have the symbol's name, or all its parts, among its words,
+    and be named like the symbol (plainly or behind ``test_``) or hold its name
+    in snake case in its own name or path. Both meet on a word, not pair by pair.
+    """
+    whole, parts = words(F.coalesce("name", F.lit(""))), name_parts(F.coalesce("name", F.lit("")))
+    s = symbols.select("id", F.lower("name").alias("low"), whole.alias("whole"), parts.alias("parts"))
+    s = s.select("*", F.explode(F.array_distinct(F.concat(F.slice("whole", 1, 1), F.slice("parts", 1, 1)))).alias("word"))
+    named = cases.filter(F.col("kind").isin("function", "method", "class", "struct"))
+    text = F.array_distinct(F.concat(name_parts(F.coalesce("name", F.lit(""))), words(F.concat_ws(" ", "name", "qualname", "path"))))
+    t = named.select(F.col("id").alias("other"), F.lower("name").alias("t_name"), F.lower("path").alias("t_path"), text.alias("text")).select("*", F.explode("text").alias("word"))
+    holds = lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, "text")) == 0)
+    snake = F.array_join("parts", "_")
+    like = (F.col("t_name") == F.col("low")) | (F.col("t_name") == F.concat(F.lit("test_"), "low")) | F.contains("t_name", snake) | F.contains("t_path", snake)
+    return s.join(t, "word").filter((F.col("id") != F.col("other")) & (holds("whole") | holds("parts")) & like).select("id", "other").distinct()
+
+
+def discovered(g: Graph, selected: DataFrame, inbound: bool = True, case: Column | None = None) -> DataFrame:
+    """Test cases that call the selected nodes, or code that these call: id, other, relation, distance, path.
+
+    Inbound keeps test cases (by ``case``, as a rule :func:`is_test_case`),
+    outbound nodes that are no tests. ``relation`` is ``direct``,
+    ``transitive``, or inbound ``lexical_fallback`` for selected nodes that no
+    test case reaches; those have neither distance nor path.
+    """
+    keep = (is_test_case() if case is None else F.coalesce(case, F.lit(False))) if inbound else ~F.coalesce("is_test", F.lit(False))
+    wanted = g.nodes.filter(keep)
+    relation = F.when(F.col("distance") == 1, "direct").otherwise("transitive")
+    found = call_paths(g, selected, inbound).join(wanted.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other").select("id", "other", relation.alias("relation"), "distance", "path")
+    if not inbound:
+        return found
+    found = cut(found)
+    bare = g.nodes.join(selected.select("id").distinct(), "id", "left_semi").join(found.select("id").distinct(), "id", "left_anti").select("id", "name")
+    none = lambda t: F.lit(None).cast(t)
+    return found.unionByName(lexical_tests(bare, wanted).select("id", "other", F.lit("lexical_fallback").alias("relation"), none("int").alias("distance"), none("string").alias("path")))
+
+
 def covering_tests(g: Graph, kinds: tuple[str, ...]) -> DataFrame:
     """Test nodes that reach a node in one or two steps: id, test, hops (the least)."""
     e = cut(g.keys.filter(F.col("kind").isin(*kinds)).select("src", "dst").distinct())

@@ -173,6 +173,20 @@ def shortest_evidence_paths(spark, d):
     return traversal.shortest_paths(g, seeds(g), depth=3, kinds=("contains", "calls", "imports"))
 
 
+@query()
+def discovered_tests(spark, d):
+    """For every callable its tests over calls at any depth; the tables store no test roles, so every test node is a test case."""
+    g = graph.load(spark, d)
+    return traversal.discovered(g, traversal.callable_nodes(g).select("id"), case=F.col("is_test"))
+
+
+@query()
+def discovered_code(spark, d):
+    """For every callable the code other than tests that it calls at any depth."""
+    g = graph.load(spark, d)
+    return traversal.discovered(g, traversal.callable_nodes(g).select("id"), inbound=False)
+
+
 @query(
     f"""WITH {EDGES}, k AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ({kinds(*graph.TEST_REACH)})), one AS (SELECT k.dst AS id, k.src AS test FROM k JOIN n ON n.id = k.src WHERE n.is_test),
 both_hops AS (SELECT id, test, 1 AS hops FROM one UNION ALL SELECT k.dst, one.test, 2 FROM one JOIN k ON k.src = one.id)
