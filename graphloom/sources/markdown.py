@@ -94,6 +94,16 @@ def anchors(section: DataFrame, key: str = "doc_id") -> DataFrame:
     return s.select(key, "ordinal", F.when(n == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", n.cast("string"))).alias("anchor"))
 
 
+def resolved(path: Column) -> Column:
+    """A relative path without . and, as far as there are folders to leave, without .. at any depth."""
+
+    def step(held: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(held) > 0) & ~F.element_at(held, -1).eqNullSafe("..")
+        return F.when(x == ".", held).when(up, F.slice(held, 1, F.size(held) - 1)).otherwise(F.concat(held, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(F.regexp_replace(path, "/+", "/"), "/"), F.array().cast("array<string>"), step), "/")
+
+
 def broken_links(section: DataFrame, paths: DataFrame, key: str = "path") -> DataFrame:
     """Relative links whose target file is not among ``paths``, or whose anchor is not in it: key, link, problem.
 
@@ -103,9 +113,7 @@ def broken_links(section: DataFrame, paths: DataFrame, key: str = "path") -> Dat
     target = F.regexp_replace(F.substring_index("link", "#", 1), "^\\./", "")
     folder = F.regexp_replace(F.col(key), "[^/]*$", "")
     full = F.when(target == "", F.col(key)).when(target.startswith("/"), F.substring(target, 2, 1 << 20)).otherwise(F.concat(folder, target))
-    for _ in range(8):  # a/../ taken out, as deep as links go in practice
-        full = F.regexp_replace(full, "(?:^|(?<=/))(?!\\.\\./)[^/]+/\\.\\./", "")
-    wanted = link.select(key, "link", full.alias("target"), F.when(F.col("link").contains("#"), F.substring_index("link", "#", -1)).alias("anchor"))
+    wanted = link.select(key, "link", resolved(full).alias("target"), F.when(F.col("link").contains("#"), F.substring_index("link", "#", -1)).alias("anchor"))
     files = paths.select(F.col("path").alias("target")).distinct()
     known = anchors(section, key).select(F.col(key).alias("target"), "anchor").distinct()
     gone = wanted.join(files, "target", "left_anti").select(key, "link", F.lit("no such file").alias("problem"))
