@@ -1,23 +1,25 @@
 """Processing only new or changed records (problem 2).
 
-Records carry sequence numbers within streams. What has been processed is a
-set of disjoint intervals per stream; subtracting them from the available
-ranges leaves the gaps, which include records that were committed late, below
-numbers already processed. Intervals are kept in blocks of fixed length, so a
-stream of any size is worked on in many small groups.
+A record gets a sequence number within its stream when it is first seen, and
+keeps it. What has been processed is a set of disjoint intervals of numbers per
+stream; subtracting them from the available ranges leaves the gaps, which
+include records that were committed late, below numbers already processed.
+Intervals are kept in blocks of fixed length, so a stream of any size is worked
+on in many small groups.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import normal_digest, normal_path
+from graphloom.functions.paths import normal_digest, normal_path, repo_of
 from graphloom.operators.snapshots import holding_rows, snapshot_list
-from graphloom.session import Folder, cut
+from graphloom.session import Folder, delete, fresh
 
 BLOCK = 1 << 16
 STREAMS = 4096
@@ -93,74 +95,201 @@ def recorded_state(files: DataFrame, runs: DataFrame) -> DataFrame:
     return kept.groupBy(normal_path(F.col("path")).alias("path")).agg(F.max(row).alias("r")).select("path", "r.digest", "r.status")
 
 
-def pending_files(inventory: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
-    """Files that the next index run must take: repo, snapshot_no, path, digest, size, stream, seq.
-
-    The newest listing's records with a digest are numbered within streams
-    (hash shards of the path, so no repository is a stream of its own); numbers
-    whose recorded digest is equal and whose status is indexed or skipped are
-    processed. The records in the gaps are the result. Empty tables give none
-    or, with no log, all records.
-    """
-    listed = newest_listing(inventory).filter(F.col("digest").isNotNull())
-    state = recorded_state(files, runs).withColumnRenamed("digest", "seen").withColumnRenamed("status", "seen_status")
-    known = listed.join(state, "path", "left")
-    settled = F.col("seen").eqNullSafe(F.col("digest")) & F.coalesce(F.col("seen_status").isin("indexed", "skipped"), F.lit(False))
-    known = known.select("repo", "snapshot_no", "path", "digest", "size", settled.alias("settled"), F.pmod(F.xxhash64("path"), F.lit(STREAMS)).alias("stream"))
-    numbered = cut(known.withColumn("seq", F.row_number().over(Window.partitionBy("stream").orderBy("path")).cast("long") - 1))
-    available = merged(numbered.groupBy("stream").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")))
-    processed = intervals(numbered.filter("settled"))
-    return in_intervals(numbered.drop("settled"), gaps(available, processed))
-
-
 class Ledger:
     """Exactly-once runs over numbered records, with output and progress committed together.
 
-    ``root`` is a folder that driver and executors share. A run writes its
-    output and its processed intervals under a fresh attempt folder and then
-    publishes one manifest naming both. A run that dies before that leaves
-    nothing visible, and the next run finds the same gaps again. Manifests are
-    numbered; publishing fails if another run took the number, so no record is
-    taken twice.
+    ``root`` is a folder that driver and executors share; ``key`` names the
+    columns that tell records apart. Every commit writes its tables under an
+    attempt folder of its own and then publishes one small manifest that names
+    it. A run that dies before that leaves nothing visible, and the next run
+    finds the same gaps again. Manifests are numbered; publishing fails if
+    another run took the number, so no record is taken twice.
+
+    A commit adds only what is new: records with their numbers, the intervals
+    processed, the output. Every ``compact_every`` runs the intervals are
+    merged into one table, from which later reads start.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, key: list[str], streams: int = STREAMS, compact_every: int = 16):
+        self.spark, self.root, self.key, self.streams, self.compact_every = spark, root.rstrip("/"), list(key), streams, compact_every
         self.manifests = Folder(spark, f"{self.root}/manifests")
 
-    def _latest(self) -> dict:
-        names = [n for n in self.manifests.names() if n.endswith(".json")]
-        return json.loads(self.manifests.read(names[-1])) if names else {"no": 0, "outputs": [], "intervals": None}
+    # -- state
+
+    def commits(self) -> list[dict]:
+        """The published manifests in order: no, attempt, parts (the tables it added)."""
+        return [json.loads(self.manifests.read(n)) for n in self.manifests.names() if n.endswith(".json")]
+
+    def _parts(self, part: str, schema: str) -> DataFrame:
+        found = [f"{c['attempt']}/{part}" for c in self.commits() if part in c["parts"]]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
     def processed(self) -> DataFrame:
         """Disjoint processed intervals: stream, block, lo, hi."""
-        at = self._latest()["intervals"]
-        if at is None:
-            return self.spark.createDataFrame([], "stream string, block long, lo long, hi long")
-        return self.spark.read.parquet(at)
+        log = self.commits()
+        base = max((i for i, c in enumerate(log) if "merged" in c["parts"]), default=0)
+        found = [f"{c['attempt']}/{'merged' if 'merged' in c['parts'] else 'intervals'}" for c in log[base:] if {"merged", "intervals"} & {*c["parts"]}]
+        schema = "stream long, block long, lo long, hi long"
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return merged(self.spark.read.schema(schema).parquet(*found).select("stream", "lo", "hi"))
+
+    def numbered(self, like: DataFrame) -> DataFrame:
+        """All registered records, with the types of ``like``: key columns, stream, seq."""
+        return self._parts("records", ", ".join(f"`{c}` {like.schema[c].dataType.simpleString()}" for c in self.key) + ", stream long, seq long")
 
     def output(self) -> DataFrame | None:
-        """All committed output, or None before the first commit."""
-        outputs = self._latest()["outputs"]
-        return self.spark.read.parquet(*outputs) if outputs else None
+        """All committed output, or None before the first."""
+        found = [f"{c['attempt']}/output" for c in self.commits() if "output" in c["parts"]]
+        return self.spark.read.parquet(*found) if found else None
+
+    # -- commits
+
+    def _commit(self, attempt: str, parts: list[str]) -> int:
+        log = self.commits()
+        no = self._expected
+        if log and log[-1]["no"] >= no:
+            raise FileExistsError(str(no))
+        self.manifests.publish(f"{no:012d}.json", json.dumps({"no": no, "attempt": attempt, "parts": parts}))
+        return no
+
+    def _attempt(self) -> str:
+        log = self.commits()
+        self._expected = (log[-1]["no"] if log else 0) + 1
+        return f"{self.root}/attempt-{int(time.time())}-{uuid.uuid4().hex}"
+
+    def register(self, records: DataFrame, order: list[str]) -> int:
+        """Number the records that have no number yet; returns the manifest number, or the last one if there were none.
+
+        Records are told apart by the key, in which null equals null; repeats
+        count once. New records of a stream (a hash shard of the key, so that
+        no key's value is a stream of its own) follow its highest number in
+        the given order, then by the key. Records once numbered keep their
+        numbers, also when they are delivered again or late.
+        """
+        attempt = self._attempt()
+        once = records.groupBy(*self.key).agg(*[F.min(c).alias(f"__{i}") for i, c in enumerate(order)])
+        old = self.numbered(records)
+        if self.commits():
+            a, b = once.alias("a"), old.alias("b")
+            same = None
+            for c in self.key:
+                e = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+                same = e if same is None else same & e
+            once = a.join(b, same, "left_anti")
+        # one shuffle by the key's hash serves the numbering; the highest numbers are a row per stream
+        shard = F.pmod(F.xxhash64(*self.key), F.lit(self.streams))
+        w = Window.partitionBy("stream").orderBy(*[f"__{i}" for i in range(len(order))], *self.key)
+        local = once.withColumn("stream", shard).withColumn("local", F.row_number().over(w).cast("long"))
+        last = old.groupBy("stream").agg(F.max("seq").alias("last"))
+        new = local.join(F.broadcast(last), "stream", "left")  # at most a row per stream
+        new.select(*self.key, "stream", (F.coalesce("last", F.lit(-1)) + F.col("local")).alias("seq")).write.parquet(attempt + "/records")
+        return self._commit(attempt, ["records"])
+
+    def numbers_of(self, records: DataFrame) -> DataFrame:
+        """The numbers of registered records among ``records``: stream, seq; those never registered have none."""
+        a, b = self.numbered(records).alias("a"), records.select(*self.key).alias("b")
+        same = None
+        for c in self.key:
+            e = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+            same = e if same is None else same & e
+        return a.join(b, same, "left_semi").select("stream", "seq")
+
+    def adopt(self, records: DataFrame) -> int:
+        """Commit that exactly these registered records have been processed, as another log says; its word replaces all earlier intervals."""
+        attempt = self._attempt()
+        intervals(self.numbers_of(records)).write.parquet(attempt + "/merged")
+        return self._commit(attempt, ["merged"])
+
+    def open(self, records: DataFrame) -> DataFrame:
+        """The gaps among registered records: what is available of ``records`` minus what is processed, as intervals."""
+        return gaps(intervals(self.numbers_of(records)), self.processed())
+
+    def taken(self, records: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The key columns, stream and seq of the registered records whose numbers lie in the wanted intervals."""
+        return in_intervals(self.numbered(records), wanted.select("stream", "lo", "hi"))
 
     def run(self, records: DataFrame, process, fail_before_commit: bool = False) -> int:
-        """Process the records not yet processed and commit; returns the manifest number.
+        """Process the registered records among ``records`` that are not processed yet, and commit; returns the manifest number.
 
-        ``records`` has ``stream`` (string) and ``seq``; ``process`` maps a
-        DataFrame of records to their output. ``fail_before_commit`` serves
-        tests of recovery.
+        ``process`` maps their rows (key, stream, seq) to the output.
+        ``fail_before_commit`` serves tests of recovery.
         """
-        state = self._latest()
-        attempt = f"{self.root}/attempt-{uuid.uuid4().hex}"
-        numbers = records.select(F.col("stream").cast("string").alias("stream"), "seq")
-        available, processed = intervals(numbers), self.processed()
-        todo = gaps(available, processed)
-        process(in_intervals(records.withColumn("stream", F.col("stream").cast("string")), todo)).write.parquet(attempt + "/output")
-        merged(processed.select("stream", "lo", "hi").unionByName(todo.select("stream", "lo", "hi"))).write.parquet(attempt + "/intervals")
+        attempt = self._attempt()
+        todo = self.open(records)
+        todo.write.parquet(attempt + "/intervals")
+        todo = self.spark.read.schema(todo.schema).parquet(attempt + "/intervals")
+        process(self.taken(records, todo)).write.parquet(attempt + "/output")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        no = state["no"] + 1
-        body = {"no": no, "outputs": [*state["outputs"], attempt + "/output"], "intervals": attempt + "/intervals"}
-        self.manifests.publish(f"{no:012d}.json", json.dumps(body))
-        return no
+        parts = ["intervals", "output"]
+        log = self.commits()
+        base = max((i for i, c in enumerate(log) if "merged" in c["parts"]), default=-1)
+        if sum("intervals" in c["parts"] for c in log[base + 1 :]) + 1 >= self.compact_every:
+            merged(self.processed().select("stream", "lo", "hi").unionByName(todo.select("stream", "lo", "hi"))).write.parquet(attempt + "/merged")
+            parts.append("merged")
+        return self._commit(attempt, parts)
+
+    def sweep(self, older_than: float = 86_400.0) -> int:
+        """Delete attempts that no manifest names and that began more than so many seconds ago; returns their number."""
+        named = {c["attempt"].rpartition("/")[2] for c in self.commits()}
+        folder = Folder(self.spark, self.root)
+        gone = [n for n in folder.names() if n.startswith("attempt-") and n not in named and int(n.split("-")[1]) <= time.time() - older_than]
+        for n in gone:
+            delete(self.spark.sparkContext, f"{self.root}/{n}")
+        return len(gone)
+
+
+def delivered(inventory: DataFrame) -> DataFrame:
+    """The inventory's rows as records to be numbered: path, snapshot_no, digest (normal spellings), size, delivered_at.
+
+    Rows without a path or snapshot number are left out.
+    """
+    rows = inventory.select(normal_path(F.col("path")).alias("path"), F.col("snapshot_no").cast("long").alias("snapshot_no"), normal_digest(F.col("digest")).alias("digest"), F.col("size").cast("long").alias("size"), "delivered_at")
+    return rows.filter(F.col("path").isNotNull() & F.col("snapshot_no").isNotNull())
+
+
+VERSION = ["path", "digest"]
+
+
+def pending_files(inventory: DataFrame, files: DataFrame, runs: DataFrame, root: str | None = None) -> DataFrame:
+    """Files that the next index run must take: repo, snapshot_no, path, digest, size, stream, seq.
+
+    A record is a version of a file, its path and digest, and is numbered when
+    the inventory first delivers it. Versions that the log's latest write under
+    a succeeded run records as indexed or skipped are adopted as processed
+    intervals; the newest listing's versions are what is available. The gaps
+    between the two are the result: neither side knows of the other but through
+    the numbers. With ``root``, a ledger kept from run to run, only new versions
+    are numbered. Empty tables give none or, with no log, all records.
+    """
+    spark = inventory.sparkSession
+    listed = newest_listing(inventory).filter(F.col("digest").isNotNull())
+    ledger = Ledger(spark, root or fresh(spark), VERSION)
+    ledger.register(delivered(inventory).filter(F.col("digest").isNotNull()), ["delivered_at", "snapshot_no"])
+    ledger.adopt(recorded_state(files, runs).filter(F.col("status").isin("indexed", "skipped")))
+    todo = ledger.taken(listed, ledger.open(listed))
+    return todo.join(listed, VERSION).select("repo", "snapshot_no", "path", "digest", "size", "stream", "seq")
+
+
+def replayed(inventory: DataFrame, until: list, root: str | None = None) -> DataFrame:
+    """Each version of a file with the run that took it, over runs at several times: run, path, digest, stream, seq.
+
+    Run ``i`` sees what had been delivered before ``until[i]`` (a null time is
+    before all), the last run everything. Each run is first stopped before its
+    commit and then repeated, as after a failure. Versions delivered late, with
+    snapshots that earlier runs have seen, fill gaps. Every version comes out
+    exactly once.
+    """
+    spark = inventory.sparkSession
+    rows = delivered(inventory).filter(F.col("digest").isNotNull())
+    ledger = Ledger(spark, root or fresh(spark), VERSION)
+    for i, end in enumerate([*until, None], 1):
+        seen = rows if end is None else rows.filter(F.col("delivered_at").isNull() | (F.col("delivered_at") < F.lit(end)))
+        ledger.register(seen, ["delivered_at", "snapshot_no"])
+        for failing in (True, False):
+            try:
+                ledger.run(seen, lambda df, i=i: df.select(F.lit(i).alias("run"), *VERSION, "stream", "seq"), fail_before_commit=failing)
+            except RuntimeError:
+                pass
+    return ledger.output()

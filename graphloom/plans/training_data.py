@@ -29,6 +29,14 @@ def p2_pending(spark, d):
     return got.select("repo", "snapshot_no", "path", "digest", "size")
 
 
+def p2_runs(spark, d):
+    """Runs at three times over the inventory as delivered by then, each failing once before its commit: the run that took each version."""
+    inv = table(spark, d, "source_inventory")
+    t = inv.agg(F.min("delivered_at").alias("lo"), F.max("delivered_at").alias("hi")).first()
+    ends = [] if t["lo"] is None else [t["lo"] + (t["hi"] - t["lo"]) * x // 10 for x in (4, 7)]
+    return increments.replayed(inv, ends).select("run", "path", "digest")
+
+
 def p3_found(spark, d):
     return hierarchy.circles(hierarchy.containment_links(table(spark, d, "edge_occurrences")))
 
@@ -82,7 +90,7 @@ def p6_failed(spark, d):
     return drift.typed_values(_p6(spark, d)[1]).groupBy("path", "target").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_counts, p2_found, p2_pending, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
 
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/(\.?/)+', '/', 'g'), '^(\./+)+', '')"
 _HELD = rf"""named AS (
@@ -126,6 +134,10 @@ SQL = {
     "p1_counts": f"WITH {_CHANGES} SELECT repo, snapshot_no, change, count(*) AS n FROM changes GROUP BY ALL",
     "p2_found": f"SELECT path FROM ({_PENDING})",
     "p2_pending": _PENDING,
+    "p2_runs": f"""WITH r AS (SELECT DISTINCT {_PATH} AS path, right(lower(digest), 64) AS digest, delivered_at FROM source_inventory WHERE path IS NOT NULL AND snapshot_no IS NOT NULL AND digest IS NOT NULL),
+v AS (SELECT path, digest, min(coalesce(epoch_us(delivered_at), 0)) AS t FROM r GROUP BY ALL),
+e AS (SELECT epoch_us(min(delivered_at)) AS lo, epoch_us(max(delivered_at)) AS hi FROM source_inventory)
+SELECT CASE WHEN t < lo + (hi - lo) * 4 // 10 THEN 1 WHEN t < lo + (hi - lo) * 7 // 10 THEN 2 ELSE 3 END::INTEGER AS run, path, digest FROM v CROSS JOIN e""",
     "p3_found": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON l.src = r.dst)
 SELECT min(b.dst) AS loop_id, a.src AS node_id FROM reach a JOIN reach b ON b.src = a.src JOIN reach c ON c.src = b.dst AND c.dst = a.src WHERE a.src = a.dst GROUP BY a.src""",
     "p3_descendants": f"""{_TREE}, below AS (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,32 +19,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read and write.
+    """Folder of this application that every executor can read and write.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a
-    local master gets a temporary folder; a cluster gets an error, as a
-    machine-local folder would lose data there.
+    It lies in the one that ``spark.checkpoint.dir`` names. Where that is unset
+    a local master gets a temporary folder; a cluster gets an error, as a
+    machine-local folder would lose data there. The folder is removed when the
+    driver ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        at = f"{named.rstrip('/')}/graphloom-{app}"
+    elif spark.sparkContext.master.startswith("local"):
+        own = os.path.join(tempfile.gettempdir(), f"graphloom-{os.getuid()}", app)
+        os.makedirs(own, exist_ok=True)
+        at = "file://" + own
+    else:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    own = os.path.join(tempfile.gettempdir(), f"graphloom-{os.getuid()}", spark.sparkContext.applicationId)
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
+    if at not in _folders:
+        _folders.add(at)
+        atexit.register(_quietly, spark.sparkContext, at)
+    return at
+
+
+_folders: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+def delete(sc, at: str) -> None:
+    """Delete a folder on any file system that Spark can reach."""
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _quietly(sc, at: str) -> None:
+    try:
+        delete(sc, at)
+    except Exception:  # the JVM may be gone before the driver's Python
+        pass
+
+
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has; an open :func:`scratch` deletes what is written there."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage.
 
     Unlike a block-manager checkpoint the copy survives lost executors, and as
-    Parquet it is compressed and can be read by column.
+    Parquet it is compressed and can be read by column. ``n_rows`` of the
+    result is the number of rows, counted while writing.
     """
-    at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    at, seen = fresh(df.sparkSession), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out.cut_at = at
+    out.cut_at, out.n_rows = at, seen.get.get("n", 0)
     return out
 
 
@@ -49,9 +84,30 @@ def drop(df: DataFrame) -> None:
     """Delete the table behind what :func:`cut` returned; for rounds whose successor is written."""
     at = getattr(df, "cut_at", None)
     if at is not None:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession.sparkContext, at)
+        for scope in _scopes:
+            if at in scope:
+                scope.remove(at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that were cut inside; ``keep`` of what it gives hands one on to the scope around it."""
+    own: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df.cut_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.cut_at)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for at in own:
+            delete(spark.sparkContext, at)
 
 
 class Folder:

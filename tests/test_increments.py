@@ -51,27 +51,76 @@ def test_pending_cases(spark):
     assert pending_files(inv.limit(0), files, runs).count() == 0
 
 
+def log(spark, ns):
+    return spark.createDataFrame([(n, f"v{n}", "x") for n in ns], "n long, value string, stream string").drop("stream")
+
+
 def test_ledger_survives_failures_and_takes_late_records_once(spark, tmp_path):
-    ledger = Ledger(spark, str(tmp_path / "ledger"))
-    log = lambda ns: spark.createDataFrame([("s", n, f"v{n}") for n in ns], "stream string, seq long, value string")
+    ledger = Ledger(spark, str(tmp_path / "ledger"), ["n", "value"], streams=2, compact_every=3)
+    whole = lambda df: df
+    first, more = log(spark, [1, 2, 5, 5, None]), log(spark, [3, 1, 2, 5, 6, 4, None])
+    ledger.register(first, ["n"])
     with pytest.raises(RuntimeError):
-        ledger.run(log([1, 2, 5]), lambda df: df, fail_before_commit=True)
+        ledger.run(first, whole, fail_before_commit=True)
     assert ledger.output() is None
-    ledger.run(log([1, 2, 5]), lambda df: df)
-    ledger.run(log([1, 2, 5]), lambda df: df)
-    ledger.run(log([1, 2, 3, 5, 6, 4]), lambda df: df)
-    assert rows(ledger.output(), "seq") == [(n,) for n in (1, 2, 3, 4, 5, 6)]
-    assert rows(ledger.processed(), "lo", "hi") == [(1, 6)]
+    ledger.run(first, whole)
+    before = rows(ledger.numbered(first), "n", "stream", "seq")
+    ledger.run(first, whole)
+    ledger.register(more, ["n"])
+    ledger.run(more, whole)
+    assert rows(ledger.output(), "n") == sorted([(n,) for n in (None, 1, 2, 3, 4, 5, 6)], key=repr)
+    assert {*before} < {*rows(ledger.numbered(first), "n", "stream", "seq")}
+    assert numbers(ledger.processed()) == {(r["stream"], r["seq"]) for r in ledger.numbered(first).collect()}
+    assert any("merged" in c["parts"] for c in ledger.commits())
+    assert ledger.sweep(older_than=-5) == 1 and ledger.sweep(older_than=-5) == 0
+    assert rows(ledger.output(), "n", "value")[0] == (1, "v1")
+
+
+def test_another_log_has_the_last_word(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), ["n", "value"])
+    three = log(spark, [1, 2, 3])
+    ledger.register(three, ["n"])
+    ledger.run(three, lambda df: df)
+    ledger.adopt(log(spark, [2, 9]))
+    assert rows(ledger.taken(three, ledger.open(three)), "n") == [(1,), (3,)]
+    assert ledger.open(three.limit(0)).count() == 0
 
 
 def test_ledger_refuses_a_number_taken_meanwhile(spark, tmp_path):
-    ledger = Ledger(spark, str(tmp_path / "ledger"))
-    records = spark.createDataFrame([("s", 1)], "stream string, seq long")
+    ledger = Ledger(spark, str(tmp_path / "ledger"), ["n", "value"])
+    one = log(spark, [1])
+    ledger.register(one, ["n"])
 
     def meanwhile(df):
-        Ledger(spark, ledger.root).run(records, lambda x: x)
+        Ledger(spark, ledger.root, ["n", "value"]).run(one, lambda x: x)
         return df
 
     with pytest.raises(FileExistsError):
-        ledger.run(records, meanwhile)
-    assert rows(ledger.output(), "seq") == [(1,)]
+        ledger.run(one, meanwhile)
+    assert rows(ledger.output(), "n") == [(1,)]
+
+
+def test_gaps_decide_what_is_pending(spark, monkeypatch):
+    """The listing knows nothing of the log but through the intervals: without the subtraction all files are pending."""
+    inv = spark.createDataFrame([(1, at(1), "r/done", None, A, 1, "x"), (1, at(1), "r/new", None, A, 1, "x")], INV)
+    files = spark.createDataFrame([(1, at(3), "r/done", "indexed", A, 0)], FILES)
+    runs = spark.createDataFrame([(1, "r", "succeeded")], RUNS)
+    assert rows(pending_files(inv, files, runs), "path") == [("r/new",)]
+    monkeypatch.setattr(increments, "gaps", lambda available, processed: available)
+    assert len(rows(pending_files(inv, files, runs), "path")) == 2
+
+
+def test_a_version_that_comes_back_is_pending_again(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "r", "succeeded"), (2, "r", "succeeded")], RUNS)
+    inv = [(1, at(1), "r/a", None, A, 1, "x"), (2, at(2), "r/a", None, B, 1, "x"), (3, at(5), "r/a", None, A, 1, "x")]
+    writes = [(1, at(1), "r/a", "indexed", A, 0), (2, at(3), "r/a", "indexed", B, 0)]
+    root = str(tmp_path / "kept")
+    got = [rows(pending_files(spark.createDataFrame(inv[:n], INV), spark.createDataFrame(writes[:k], FILES), runs, root), "path", "seq") for n, k in ((1, 1), (2, 1), (2, 2), (3, 2))]
+    assert [len(g) for g in got] == [0, 1, 0, 1]
+
+
+def test_replay_takes_every_version_once(spark):
+    inv = spark.createDataFrame([(1, at(1), "r/a", None, A, 1, "x"), (2, at(4), "r/a", None, B, 1, "x"), (1, at(9), "r/late", None, A, 1, "x"), (2, None, "r/b", None, A, 1, "x"), (2, at(9), "r/b", None, None, 1, "x"), (3, at(9), "r/a", None, A, 1, "x")], INV)
+    got = increments.replayed(inv, [at(3), at(6)])
+    assert rows(got, "run", "path", "digest") == [(1, "r/a", A), (1, "r/b", A), (2, "r/a", B), (3, "r/late", A)]
+    assert increments.replayed(inv.limit(0), [at(3)]).count() == 0
