@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import drift, hierarchy, increments, skew, snapshots
-from graphloom.session import cut, table
+from graphloom.session import cut, fresh, table
 
 
 def p1_found(spark, d):
@@ -16,6 +16,19 @@ def p1_changes(spark, d):
     return snapshots.snapshot_changes(table(spark, d, "source_inventory"))
 
 
+def p1_merged(spark, d):
+    """Changes after the inventory came in three deliveries by time, each merged into the same store."""
+    inv = table(spark, d, "source_inventory")
+    t = inv.agg(F.min("delivered_at").alias("lo"), F.max("delivered_at").alias("hi")).first()
+    store = snapshots.SnapshotStore(spark, fresh(spark))
+    at = F.col("delivered_at")
+    if t["lo"] is not None:
+        a, b = (F.lit(t["lo"] + (t["hi"] - t["lo"]) * x // 10) for x in (4, 7))
+        for part in (at.isNull() | (at < a), (at >= a) & (at < b), at >= b):
+            store.load(inv.filter(part))
+    return store.changes()
+
+
 def p1_counts(spark, d):
     return snapshots.change_counts(snapshots.snapshot_changes(table(spark, d, "source_inventory")))
 
@@ -90,7 +103,7 @@ def p6_failed(spark, d):
     return drift.typed_values(_p6(spark, d)[1]).groupBy("path", "target").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_merged, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
 
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/(\.?/)+', '/', 'g'), '^(\./+)+', '')"
 _HELD = rf"""named AS (
@@ -131,6 +144,7 @@ _DISTINCT = "SELECT DISTINCT owner_path, ordinal, src, kind, dst, line, evidence
 SQL = {
     "p1_found": f"WITH {_CHANGES} SELECT snapshot_no, path, change FROM changes",
     "p1_changes": f"WITH {_CHANGES} SELECT * FROM changes",
+    "p1_merged": f"WITH {_CHANGES} SELECT * FROM changes",
     "p1_counts": f"WITH {_CHANGES} SELECT repo, snapshot_no, change, count(*) AS n FROM changes GROUP BY ALL",
     "p2_found": f"SELECT path FROM ({_PENDING})",
     "p2_pending": _PENDING,
