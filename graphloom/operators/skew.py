@@ -1,4 +1,12 @@
-"""Per-key results when a few keys hold most rows (problem 5)."""
+"""Per-key results when a few keys hold most rows (problem 5).
+
+A sketch names the heavy keys: those with at least one row in a thousand, of
+which there can't be more than a thousand. They go to every task by broadcast.
+A heavy key's rows are spread by record over all tasks and pre-aggregated; the
+other keys, none of which can burden a task, take the ordinary shuffle by key.
+The union of both is the result. Every row is shuffled once with its key and
+two hashes, and repeats of a record are dropped where it arrives.
+"""
 
 from __future__ import annotations
 
@@ -7,69 +15,68 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
+HEAVY = 1000  # a key is heavy from one in so many rows on
 TRACKED = 8192
-CANDIDATES = 1000
+NULL, BETWEEN = "\u0002", "\u0001"
 
 
-def heavy_candidates(rows: DataFrame, keys: list[str], k: int = CANDIDATES, tracked: int = TRACKED) -> DataFrame:
-    """At most ``k`` keys that a mergeable frequent-items sketch ranks highest: the key columns.
+def heavy_keys(rows: DataFrame, keys: list[str], one_in: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
+    """Keys that a mergeable frequent-items sketch gives at least one in ``one_in`` rows: the key columns, at most ``one_in`` rows.
 
     The sketch keeps ``tracked`` counters per partition and merges them, so its
-    cost does not depend on the number of keys. Any key with more than about
-    1/tracked of the rows is tracked. The list only steers how a key is
-    processed; counts never come from it.
+    cost does not depend on the number of keys. It sees repeats too. The list
+    only steers how a key is processed; no count comes from it.
     """
-    item = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    sketch = rows.select(item.alias("item")).agg(F.expr(f"approx_top_k(item, {k}, {tracked})").alias("top"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    found = sketch.select(F.explode("top").alias("t")).filter(F.col("t.count") > 0)
-    return found.select(F.from_json("t.item", kinds).alias("k")).select(*[F.col(f"k.`{c}`").alias(c) for c in keys])
+    item = F.concat_ws(BETWEEN, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in keys])
+    sketch = rows.select(item.alias("item")).agg(F.expr(f"approx_top_k(item, {one_in}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = sketch.select("n", F.explode("top").alias("t")).filter(F.col("t.count") * one_in >= F.col("n"))
+    part = F.split("t.item", BETWEEN)
+    value = lambda i, c: F.when(part[i] != NULL, part[i]).cast(rows.schema[c].dataType)
+    return found.select(*[value(i, c).alias(c) for i, c in enumerate(keys)]).distinct().limit(one_in)
 
 
-def key_results(rows: DataFrame, keys: list[str], distinct_of: str | None, k: int = CANDIDATES) -> DataFrame:
-    """Count, and distinct values of a column, per key: keys, n_rows, n_distinct, heavy.
+def key_results(rows: DataFrame, keys: list[str], record: list[str], distinct_of: str | None = None, one_in: int = HEAVY) -> DataFrame:
+    """Count of records, and of distinct values of a column, per key: keys, n_rows, n_distinct (null without ``distinct_of``), heavy.
 
-    Heavy keys, at most ``k`` of them, go to every task by broadcast. Their rows
-    are pre-aggregated per value, which spreads one key over all tasks, and the
-    partial results are added up. All other keys take the ordinary shuffle by
-    key. Rows with a null key form a key of their own; null values are rows but
-    no distinct value.
-    """
-    top = F.broadcast(cut(heavy_candidates(rows, keys, k)).limit(k).withColumn("__heavy", F.lit(True)))
-    same = None
-    for c in keys:
-        this = rows[c].eqNullSafe(top[c])
-        same = this if same is None else same & this
-    tagged = rows.join(top, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce(top["__heavy"], F.lit(False)).alias("__heavy"))
-    count, value = F.count(F.lit(1)).alias("n_rows"), distinct_of
-    heavy, light = tagged.filter("__heavy"), tagged.filter("NOT __heavy")
-    if value is None:
-        h = heavy.groupBy(*keys).agg(count)
-        rest = light.groupBy(*keys).agg(count)
-        h, rest = (x.withColumn("n_distinct", F.lit(None).cast("long")) for x in (h, rest))
-    else:
-        h = heavy.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(value).alias("n_distinct"))
-        rest = light.groupBy(*keys).agg(count, F.count_distinct(value).alias("n_distinct"))
-    return h.withColumn("heavy", F.lit(True)).unionByName(rest.withColumn("heavy", F.lit(False)))
-
-
-def distinct_occurrences(occurrences: DataFrame, columns: list[str]) -> DataFrame:
-    """Occurrences with exact repeats removed: the given columns, one row per distinct (owner_path, ordinal, columns).
-
-    Grouping by the table's whole key combines repeats before the shuffle and
-    leaves no owner hot. The result is a written table of the few columns,
-    which the sketch and both kinds of keys read instead of shuffling again.
+    ``record`` names the columns that identify a record; rows alike in these
+    and in the key are repeats and count once. They travel as two 64-bit
+    hashes. Rows with a null key form a key of their own; null values are
+    records but no distinct value. ``rows`` may have any further columns.
     """
-    return cut(occurrences.select("owner_path", "ordinal", *columns).distinct().select(*columns))
+    nulls = F.lit(0)  # which columns are null, as a hash passes over these
+    for i, c in enumerate(record):
+        nulls = nulls + F.col(c).isNull().cast("int") * (1 << i)
+    value = [distinct_of] if distinct_of else []
+    small = rows.select(*keys, *value, F.xxhash64(*record, nulls).alias("__r"), F.xxhash64(nulls, *reversed(record)).alias("__s"))
+    top = cut(heavy_keys(rows, keys, one_in).withColumn("__code", F.monotonically_increasing_id()))
+    codes = F.broadcast(top)  # at most one_in rows
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in keys]
+    tagged = small.join(codes, same(small, codes), "left").select(*[small[c] for c in small.columns], "__code")
+    n_distinct = F.count(distinct_of) if distinct_of else F.lit(None).cast("long")
+
+    # heavy: spread by record, repeats dropped there, then one partial row per key (and value) of each task
+    h = tagged.filter(F.col("__code").isNotNull()).groupBy("__code", "__r", "__s", *value).agg(F.lit(1).alias("__n"))
+    if value:
+        h = h.groupBy("__code", *value).agg(F.count(F.lit(1)).alias("__n"))
+    h = h.groupBy("__code").agg(F.sum("__n").alias("n_rows"), n_distinct.alias("n_distinct"))
+    h = h.join(codes, "__code").select(*keys, "n_rows", "n_distinct")
+
+    # light: one shuffle by key, within which repeats, values and keys are grouped without another
+    own = tagged.filter(F.col("__code").isNull()).repartition(*keys).groupBy(*keys, "__r", "__s", *value).agg(F.lit(1).alias("__n"))
+    if value:
+        own = own.groupBy(*keys, *value).agg(F.count(F.lit(1)).alias("__n"))
+    light = own.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), n_distinct.alias("n_distinct"))
+    n = F.col("n_rows").cast("long").alias("n_rows")
+    return h.select(*keys, n, "n_distinct", F.lit(True).alias("heavy")).unionByName(light.select(*keys, n, "n_distinct", F.lit(False).alias("heavy")))
 
 
 def edge_key_results(occurrences: DataFrame, with_sources: bool = True) -> DataFrame:
     """Results per kind and dst of ``edge_occurrences``, repeats counted once: kind, dst, n_rows, n_distinct, heavy.
 
-    ``with_sources`` adds the number of distinct ``src``; null ``dst`` is a key too.
+    ``with_sources`` adds the number of distinct ``src``; null ``dst`` is a key
+    too. A record is an (owner_path, ordinal).
     """
-    columns = ["kind", "dst", *(["src"] if with_sources else [])]
-    return key_results(distinct_occurrences(occurrences, columns), ["kind", "dst"], "src" if with_sources else None)
+    return key_results(occurrences, ["kind", "dst"], ["owner_path", "ordinal"], "src" if with_sources else None)
 
 
 def dominant_keys(occurrences: DataFrame, one_in: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import drift, hierarchy, increments, skew, snapshots
-from graphloom.session import cut, fresh, table
+from graphloom.session import fresh, table
 
 
 def p1_found(spark, d):
@@ -77,33 +77,35 @@ def p5_keys(spark, d):
     return skew.edge_key_results(table(spark, d, "edge_occurrences")).select("kind", "dst", "n_rows", "n_distinct")
 
 
-def _p6(spark, d):
-    files = drift.received_files(table(spark, d, "bench_results"))
-    files = cut(files)
-    return files, cut(drift.path_values(files))
+def p6_found(spark, d):
+    return drift.field_changes(drift.received_layouts(table(spark, d, "bench_results"))).select("result_name", "field", "change")
 
 
-def p6_found(spark, d):
-    files, values = _p6(spark, d)
-    return drift.field_changes(values, files).select("result_name", "field", "change")
+def p6_changes(spark, d):
+    return drift.field_changes(drift.received_layouts(table(spark, d, "bench_results"))).select("series", "ord", "result_name", "field", "change", "was", "type")
+
+
+def p6_files(spark, d):
+    """Per file the fields of each type."""
+    t = drift.file_types(drift.received_layouts(table(spark, d, "bench_results")))
+    return t.groupBy("series", "result_name").agg(F.count(F.lit(1)).alias("n_fields"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("number", "string", "boolean", "array", "object")], F.count_if(F.col("type").isNull()).alias("n_null"))
 
 
 def p6_types(spark, d):
-    return drift.path_types(_p6(spark, d)[1])
+    return drift.path_types(drift.received_layouts(table(spark, d, "bench_results")))
 
 
 def p6_table(spark, d):
-    files, values = _p6(spark, d)
-    wide = drift.consistent_table(values, files)
-    return wide.select("result_name", "series", "recorded_at", *[F.to_json(c).alias(c) for c in ("numbers", "flags", "texts")], F.array_join("failed", ", ").alias("failed"))
+    results = table(spark, d, "bench_results")
+    return drift.consistent_table(results, drift.received_layouts(results))
 
 
 def p6_failed(spark, d):
-    """Values that did not fit their path's type, counted."""
-    return drift.typed_values(_p6(spark, d)[1]).groupBy("path", "target").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n_values"))
+    """Files whose value did not fit the column of a path, counted."""
+    return p6_table(spark, d).select(F.explode("failed").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n_failed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_merged, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_types, p6_table, p6_failed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_merged, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_changes, p6_files, p6_types, p6_table, p6_failed)}
 
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/(\.?/)+', '/', 'g'), '^(\./+)+', '')"
 _HELD = rf"""named AS (

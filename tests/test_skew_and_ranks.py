@@ -36,8 +36,10 @@ def test_exactly_one_percent_is_a_case(spark):
 
 
 def test_all_rows_one_key_null_values_and_empty(spark):
-    df = spark.createDataFrame([(1, None), (1, "a"), (1, "a"), (None, "b")], "k long, v string")
-    assert rows(key_results(df, ["k"], "v"), "k", "n_rows", "n_distinct") == [(1, 3, 1), (None, 1, 1)]
+    df = spark.createDataFrame([(1, None, 1, None), (1, "a", 2, None), (1, "a", 3, None), (1, "a", 3, None), (1, "a", None, 3), (None, "b", 9, 9)], "k long, v string, i long, j long")
+    assert rows(key_results(df, ["k"], ["i", "j"], "v"), "k", "n_rows", "n_distinct") == [(1, 4, 1), (None, 1, 1)]
+    assert rows(key_results(df, ["k"], ["i", "j"]), "k", "n_rows", "n_distinct") == [(1, 4, None), (None, 1, None)]
+    assert key_results(df.limit(0), ["k"], ["i"], "v").count() == 0
     assert rows(key_results(df, ["k"], None), "k", "n_rows") == [(1, 3), (None, 1)]
     assert key_results(df.limit(0), ["k"], "v").count() == 0
     assert dominant_keys(spark.createDataFrame([], OCC)).count() == 0
@@ -51,3 +53,12 @@ def test_running_sums_over_a_group_that_spans_partitions(spark):
 
     summed = {(r["g"], r["i"]): r["s"] for r in running(spark.createDataFrame(d, "g string, i long, v long"), ["g"], ["i"], F.col("v"), "s", 16).collect()}
     assert summed["hot", 399] == sum(i % 5 for i in range(399)) and summed[None, 2] == 0 and summed["cold", 4] == 8
+
+
+def test_only_keys_over_the_share_are_heavy_and_the_split_changes_no_count(spark):
+    df = spark.createDataFrame(data(), OCC)
+    n = Counter((x[3], x[4]) for x in data())
+    for one_in in (1000, 20, 2):
+        got = {(r["kind"], r["dst"]): r for r in edge_key_results(df, True).collect()} if one_in == 1000 else {(r["kind"], r["dst"]): r for r in key_results(df, ["kind", "dst"], ["owner_path", "ordinal"], "src", one_in).collect()}
+        assert {k: r["n_rows"] for k, r in got.items()} == n
+        assert {k for k, r in got.items() if r["heavy"]} == {k for k, c in n.items() if c * one_in >= len(data())}
