@@ -142,8 +142,38 @@ walk AS (
   UNION ALL
   SELECT u.id, u.parent, w.root, w.depth + 1, w.path || ' > ' || u.id FROM up u JOIN walk w ON w.id = u.parent)"""
 _DISTINCT = "SELECT DISTINCT owner_path, ordinal, src, kind, dst, line, evidence, confidence FROM edge_occurrences"
+_FIELDS = """fl AS (
+  SELECT result_name, series, recorded_at, body FROM (
+    SELECT *, row_number() OVER (PARTITION BY result_name ORDER BY received_at NULLS FIRST, series, recorded_at NULLS FIRST, body) AS rn
+    FROM bench_results WHERE result_name IS NOT NULL AND series IS NOT NULL AND CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END) WHERE rn = 1),
+od AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY recorded_at NULLS FIRST, result_name) - 1 AS ord FROM fl),
+pv AS (
+  SELECT series, ord, result_name, replace(substr(j.fullkey, 3), '"', '') AS path, replace(substr(j.path, 3), '"', '') AS parent,
+    CASE WHEN j.type = 'OBJECT' THEN 'object' WHEN j.type = 'ARRAY' THEN 'array' WHEN j.type = 'VARCHAR' THEN 'string' WHEN j.type = 'BOOLEAN' THEN 'boolean' WHEN j.type <> 'NULL' THEN 'number' END AS type
+  FROM od, json_tree(od.body) j WHERE j.fullkey <> '$' AND NOT contains(j.fullkey, '['))"""
+_DRIFT = f"""WITH {_FIELDS},
+nb AS (SELECT *, lag(ord) OVER w AS prev, lead(ord) OVER w AS nxt FROM pv WINDOW w AS (PARTITION BY series, path ORDER BY ord)),
+st AS (SELECT *, prev IS NULL OR prev <> ord - 1 AS starts, sum(CASE WHEN prev IS NULL OR prev <> ord - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series, path ORDER BY ord) AS run FROM nb),
+sd AS (SELECT *, last_value(type IGNORE NULLS) OVER (PARTITION BY series, path, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stood FROM st),
+ev AS (
+  SELECT series, ord, path, parent, 'added' AS change, type, NULL AS was FROM sd WHERE starts AND ord > 0
+  UNION ALL SELECT series, ord, path, parent, 'retyped', type, stood FROM sd WHERE NOT starts AND type <> stood
+  UNION ALL SELECT series, ord + 1, path, parent, 'removed', coalesce(type, stood), NULL FROM sd WHERE nxt IS NULL OR nxt <> ord + 1),
+ow AS (SELECT e.*, od.result_name FROM ev e JOIN od USING (series, ord) WHERE NOT EXISTS (SELECT 1 FROM ev a WHERE a.series = e.series AND a.ord = e.ord AND a.path = e.parent)),
+gr AS (
+  SELECT series, ord, result_name, parent, type, count(*) = 2 AND count(DISTINCT change) = 2 AND type IS NOT NULL AS pair, max(path) FILTER (WHERE change = 'added') AS came, max(path) FILTER (WHERE change = 'removed') AS went
+  FROM ow WHERE change <> 'retyped' GROUP BY series, ord, result_name, parent, type),
+cs AS (
+  SELECT series, ord, result_name, path AS field, change, was, type FROM ow WHERE change = 'retyped'
+  UNION ALL SELECT series, ord, result_name, came, 'renamed', went, type FROM gr WHERE pair
+  UNION ALL SELECT o.series, o.ord, o.result_name, o.path, o.change, NULL, o.type FROM ow o JOIN gr ON gr.series = o.series AND gr.ord = o.ord AND gr.parent = o.parent AND gr.type IS NOT DISTINCT FROM o.type WHERE o.change <> 'retyped' AND NOT gr.pair)"""
 
 SQL = {
+    "p6_found": f"{_DRIFT} SELECT result_name, field, change FROM cs",
+    "p6_changes": f"{_DRIFT} SELECT * FROM cs",
+    "p6_files": f"WITH {_FIELDS} SELECT series, result_name, count(*) AS n_fields, {', '.join(f"count(*) FILTER (WHERE type = '{k}') AS n_{k}" for k in ('number', 'string', 'boolean', 'array', 'object'))}, count(*) FILTER (WHERE type IS NULL) AS n_null FROM pv GROUP BY series, result_name",
+    "p6_types": f"""WITH {_FIELDS}, n AS (SELECT path, type, count(*) AS n_files FROM pv GROUP BY path, type)
+SELECT path, type, n_files, row_number() OVER (PARTITION BY path ORDER BY type IS NULL, n_files DESC, type) = 1 AND type IS NOT NULL AS main FROM n""",
     "p1_found": f"WITH {_CHANGES} SELECT snapshot_no, path, change FROM changes",
     "p1_changes": f"WITH {_CHANGES} SELECT * FROM changes",
     "p1_merged": f"WITH {_CHANGES} SELECT * FROM changes",
