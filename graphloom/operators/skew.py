@@ -39,15 +39,17 @@ def key_results(rows: DataFrame, keys: list[str], record: list[str], distinct_of
     """Count of records, and of distinct values of a column, per key: keys, n_rows, n_distinct (null without ``distinct_of``), heavy.
 
     ``record`` names the columns that identify a record; rows alike in these
-    and in the key are repeats and count once. They travel as two 64-bit
-    hashes. Rows with a null key form a key of their own; null values are
+    and in the key are repeats and count once; texts among them are compared by two
+    64-bit hashes. Rows with a null key form a key of their own; null values are
     records but no distinct value. ``rows`` may have any further columns.
     """
-    nulls = F.lit(0)  # which columns are null, as a hash passes over these
-    for i, c in enumerate(record):
-        nulls = nulls + F.col(c).isNull().cast("int") * (1 << i)
     value = [distinct_of] if distinct_of else []
-    small = rows.select(*keys, *value, F.xxhash64(*record, nulls).alias("__r"), F.xxhash64(nulls, *reversed(record)).alias("__s"))
+    text = [c for c in record if rows.schema[c].dataType.simpleString() == "string"]
+    whole = [c for c in record if c not in text]
+    # texts travel as 128 bits, which rows of the same owner share and compress; numbers as they are
+    ids = [F.when(F.col(c).isNotNull(), F.xxhash64(*seed, c)).alias(f"__{c}_{i}") for c in text for i, seed in enumerate(([], [F.lit(1)]))]
+    small = rows.select(*keys, *value, *ids, *[F.col(c).alias(f"__{c}") for c in whole])
+    rec = [c for c in small.columns if c not in (*keys, *value)]
     top = cut(heavy_keys(rows, keys, one_in).withColumn("__code", F.monotonically_increasing_id()))
     codes = F.broadcast(top)  # at most one_in rows
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in keys]
@@ -55,14 +57,14 @@ def key_results(rows: DataFrame, keys: list[str], record: list[str], distinct_of
     n_distinct = F.count(distinct_of) if distinct_of else F.lit(None).cast("long")
 
     # heavy: spread by record, repeats dropped there, then one partial row per key (and value) of each task
-    h = tagged.filter(F.col("__code").isNotNull()).groupBy("__code", "__r", "__s", *value).agg(F.lit(1).alias("__n"))
+    h = tagged.filter(F.col("__code").isNotNull()).groupBy("__code", *rec, *value).agg(F.lit(1).alias("__n"))
     if value:
         h = h.groupBy("__code", *value).agg(F.count(F.lit(1)).alias("__n"))
     h = h.groupBy("__code").agg(F.sum("__n").alias("n_rows"), n_distinct.alias("n_distinct"))
     h = h.join(codes, "__code").select(*keys, "n_rows", "n_distinct")
 
     # light: one shuffle by key, within which repeats, values and keys are grouped without another
-    own = tagged.filter(F.col("__code").isNull()).repartition(*keys).groupBy(*keys, "__r", "__s", *value).agg(F.lit(1).alias("__n"))
+    own = tagged.filter(F.col("__code").isNull()).repartition(*keys).groupBy(*keys, *rec, *value).agg(F.lit(1).alias("__n"))
     if value:
         own = own.groupBy(*keys, *value).agg(F.count(F.lit(1)).alias("__n"))
     light = own.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), n_distinct.alias("n_distinct"))

@@ -40,8 +40,6 @@ def test_all_rows_one_key_null_values_and_empty(spark):
     assert rows(key_results(df, ["k"], ["i", "j"], "v"), "k", "n_rows", "n_distinct") == [(1, 4, 1), (None, 1, 1)]
     assert rows(key_results(df, ["k"], ["i", "j"]), "k", "n_rows", "n_distinct") == [(1, 4, None), (None, 1, None)]
     assert key_results(df.limit(0), ["k"], ["i"], "v").count() == 0
-    assert rows(key_results(df, ["k"], None), "k", "n_rows") == [(1, 3), (None, 1)]
-    assert key_results(df.limit(0), ["k"], "v").count() == 0
     assert dominant_keys(spark.createDataFrame([], OCC)).count() == 0
 
 
