@@ -17,9 +17,9 @@ def affected_owners(occurrences: DataFrame, nodes: DataFrame, changed: DataFrame
     while True:
         nxt = uses.join(front.select(F.col("owner_path").alias("target")), "target").select("owner_path").distinct()
         front = cut(nxt.join(seen, "owner_path", "left_anti"))
-        if not front.limit(1).count():
+        if not front.n_rows:
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
 def replace_owners(old: DataFrame, new: DataFrame, owners: DataFrame) -> DataFrame:

@@ -28,13 +28,15 @@ class Graph:
 
     ``keys`` is (src, kind, dst) straight from the rows: what needs no counts
     or evidence takes it, as it needs neither the repeats removed nor wide rows
-    shuffled, and a filter on the kind reaches the scan.
+    shuffled, and a filter on the kind reaches the scan. ``triples`` are the
+    same with repeats, for what reads few of them.
     """
 
     nodes: DataFrame
     occurrences: DataFrame
     edges: DataFrame
     keys: DataFrame
+    triples: DataFrame
 
 
 def edge_table(occurrences: DataFrame) -> DataFrame:
@@ -53,8 +55,8 @@ def graph(nodes: DataFrame, occurrences: DataFrame) -> Graph:
     """A graph from its fact tables; exact repeats of rows are removed, nodes without an id left out."""
     once = nodes.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
     occ = occurrences.select("owner_path", "ordinal", "src", "kind", "dst", "line", "evidence", "confidence").distinct()
-    keys = occurrences.select("src", "kind", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
-    return Graph(once, occ, edge_table(occ), keys)
+    triples = occurrences.select("src", "kind", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    return Graph(once, occ, edge_table(occ), triples.distinct(), triples)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:

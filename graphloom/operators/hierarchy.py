@@ -8,12 +8,12 @@ a root are unprocessed: they lie on a circle or hang below one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import strong_components
 from graphloom.operators.ranks import running
-from graphloom.session import cut, drop
+from graphloom.session import cut, drop, scratch, small
 
 
 def containment_links(occurrences: DataFrame) -> DataFrame:
@@ -35,75 +35,88 @@ def parents(links: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max("parent").alias("parent"), F.max("several").alias("several"), F.max("inner").alias("inner"))
 
 
-def _start(nodes: DataFrame) -> DataFrame:
-    up = F.col("parent")
-    return nodes.select("id", "parent", up.alias("anc"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("dist"), up.isNull().alias("done"), F.lit(1).cast("long").alias("size"), "inner")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _climb(nodes: DataFrame, with_sizes: bool) -> tuple[DataFrame, int]:
-    """Rows (id, parent, anc, dist, done, size, inner) when no further node meets a root, and how many did not.
+def _climb(nodes: DataFrame, with_sizes: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes below a root (id, parent, root, depth, size, inner), the unprocessed ones (id, parent), and how many these are.
 
-    At the start of round k the nodes not done are those of depth 2^k or more,
-    and ``anc`` is exactly 2^k levels up. ``size`` then counts a node's
-    descendants nearer than 2^k, itself included. Only inner nodes are anyone's
-    ancestor, so leaves never stand on the other side of a join.
+    At the start of round k the open nodes are those of depth 2^k or more, and
+    ``anc`` is exactly 2^k levels up. ``size`` then counts a node's descendants
+    nearer than 2^k, itself included. Only inner nodes are anyone's ancestor,
+    so leaves never stand on the other side of a join. Nodes that have met
+    their root are written once and not carried on; what their subtrees gain
+    in later rounds is added at the end.
     """
-    state = cut(_start(nodes))
-    left = state.filter("NOT done").count()
+    up = F.col("parent")
+    done = up.isNull()
+    state = cut(nodes.select("id", "parent", up.alias("anc"), F.when(done, 0).otherwise(1).cast("long").alias("dist"), done.alias("done"), F.lit(1).cast("long").alias("size"), "inner", F.lit(0).alias("round")), ~F.col("done"))
+    tables, gains, left, k = [state], [], state.n_where, 0
     while left:
-        s, t = state.filter("NOT done"), state.filter("inner").select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"))
+        k += 1
+        s = tables[-1].filter("NOT done")
+        t = _union([x.filter("done AND inner") for x in tables] + [s.filter("inner")]).select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"))
         moved = s.join(t, F.col("anc") == F.col("t_id")).select(
-            "id", "parent", F.coalesce("t_anc", "anc").alias("anc"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done"), "size", "inner"
+            "id", "parent", F.coalesce("t_anc", "anc").alias("anc"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done"), "size", "inner", F.lit(k).alias("round")
         )
-        nxt = moved.unionByName(state.filter("done"))
         if with_sizes:
-            gained = s.groupBy(F.col("anc").alias("g_id")).agg(F.sum("size").alias("gain"))
-            grown = nxt.filter("inner").join(gained, F.col("id") == F.col("g_id"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("g_id", "gain")
-            nxt = grown.unionByName(nxt.filter("NOT inner"))
-        old, state = state, cut(nxt)
-        drop(old)
-        now = state.filter("NOT done").count()
-        if now == left:
+            gained = cut(s.groupBy(F.col("anc").alias("g_id")).agg(F.sum("size").alias("gain"), F.lit(k).alias("g_round")))
+            gains.append(gained)
+            moved = moved.join(small(gained).drop("g_round"), F.col("id") == F.col("g_id"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("g_id", "gain")
+        tables.append(cut(moved, ~F.col("done")))
+        if tables[-1].n_where == left:
             break
-        left = now
-    return state, left
+        left = tables[-1].n_where
+    found = _union([x.filter("done") for x in tables])
+    if gains:
+        late = _union(gains)
+        more = found.filter("inner").select("id", "round").join(late, (F.col("id") == F.col("g_id")) & (F.col("g_round") > F.col("round"))).groupBy(F.col("id").alias("g_id")).agg(F.sum("gain").alias("gain"))
+        found = found.join(more, F.col("id") == F.col("g_id"), "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0)))
+    found = found.select("id", "parent", F.coalesce("anc", "id").alias("root"), F.col("dist").alias("depth"), "size", "inner")
+    return found, tables[-1].filter("NOT done").select("id", "parent"), left
 
 
 def circles(links: DataFrame) -> DataFrame:
     """Nodes on a circle: loop_id (smallest node id on the circle in byte order), node_id.
 
-    A node that contains itself is a circle. Where a node has several parents
-    circles may share nodes; then ``loop_id`` is the smallest id of the
-    strongly connected set.
+    Circles lie among the nodes that the climb to the roots leaves
+    unprocessed. A node that contains itself is a circle. Where unprocessed
+    nodes, or nodes below them, have further parents, circles may share nodes
+    or run through these; then ``loop_id`` is the smallest id of the strongly
+    connected set.
     """
-    nodes = cut(parents(links))
-    if nodes.filter("several").limit(1).count():
-        found = strong_components(links)
-        return found.filter("in_circle").select(F.col("component").alias("loop_id"), F.col("id").alias("node_id"))
-    state, left = _climb(nodes, with_sizes=False)
-    rest = state.filter("NOT done").select("id", F.col("parent").alias("anc"), F.col("id").alias("low"))
-    if not left:
-        return rest.select(F.col("low").alias("loop_id"), F.col("id").alias("node_id"))
-    # the parent of an unprocessed node is unprocessed; images under 2^k steps shrink to the circles
-    held, before = cut(rest), None
-    rest = held
-    while True:
-        t = rest.select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("low").alias("t_low"))
-        step = rest.join(t, F.col("anc") == F.col("t_id")).select("id", F.col("t_anc").alias("anc"), F.least("low", "t_low").alias("low"), (F.col("t_low") < F.col("low")).alias("sank"))
-        old, held = held, cut(step)
-        drop(old)
+    with scratch(links.sparkSession) as keep:
+        nodes = cut(parents(links), F.col("several"))
+        if nodes.n_where:
+            # with several parents a node may meet a root and lie on a circle too: what no trimming processes is searched
+            found = strong_components(links)
+            return keep(cut(found.select(F.col("component").alias("loop_id"), F.col("id").alias("node_id"))))
+        _, rest, left = _climb(nodes, with_sizes=False)
+        if not left:
+            return keep(cut(rest.select(F.col("id").alias("loop_id"), F.col("id").alias("node_id"))))
+        # the parent of an unprocessed node is unprocessed; images under 2^k steps shrink to the circles
+        held, before = cut(rest.select("id", F.col("parent").alias("anc"), F.col("id").alias("low"))), None
         rest = held
-        now = rest.agg(F.count_distinct("anc").alias("n"), F.count_if("sank").alias("sank")).first()
-        rest = rest.drop("sank")
-        if now["sank"] == 0 and now["n"] == before:
-            break
-        before = now["n"]
-    on = rest.select(F.col("anc").alias("node_id")).distinct()
-    return on.join(rest, F.col("node_id") == F.col("id")).select(F.col("low").alias("loop_id"), "node_id")
+        while True:
+            t = rest.select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("low").alias("t_low"))
+            step = rest.join(t, F.col("anc") == F.col("t_id")).select("id", F.col("t_anc").alias("anc"), F.least("low", "t_low").alias("low"), (F.col("t_low") < F.col("low")).alias("sank"))
+            old, held = held, cut(step, F.col("sank"))
+            drop(old)
+            rest = held.drop("sank")
+            n = rest.select("anc").distinct().count()
+            if held.n_where == 0 and n == before:
+                break
+            before = n
+        on = rest.select(F.col("anc").alias("node_id")).distinct()
+        return keep(cut(on.join(rest, F.col("node_id") == F.col("id")).select(F.col("low").alias("loop_id"), "node_id")))
 
 
 def hierarchy(links: DataFrame) -> DataFrame:
-    """Every node of the trees: id, parent, root, depth, path, lo, hi, descendants, state.
+    """Every node of the trees: id, parent, root, depth, path, lo, hi, descendants, tree_size, state; a written table.
 
     ``path`` lists the ids from the root down to the node. ``lo`` is the node's
     preorder number within its root's tree, from 1, children in byte order of
@@ -112,56 +125,67 @@ def hierarchy(links: DataFrame) -> DataFrame:
     on a circle or below one, whose other columns are null. A node with several
     parents counts below the smallest. No links give no rows.
     """
-    nodes = parents(links).drop("several")
-    state, _ = _climb(nodes, with_sizes=True)
-    tree = state.filter("done")
-    sized = tree.select("id", "parent", "size", "inner")
-    ordered = running(sized.filter(F.col("parent").isNotNull()), ["parent"], ["id"], F.col("size"), "before")
-    one = F.lit(1).cast("long")
-    start = ordered.select("id", F.col("parent").alias("anc"), (F.col("before") + 1).alias("at"), F.array("id").alias("path"), F.lit(False).alias("done"), "inner")
-    tops = sized.filter(F.col("parent").isNull()).select("id", F.lit(None).cast("string").alias("anc"), one.alias("at"), F.array("id").alias("path"), F.lit(True).alias("done"), "inner")
-    down = cut(start.unionByName(tops))
-    while down.filter("NOT done").limit(1).count():
-        s = down.filter("NOT done")
-        t = down.filter("inner").select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("at").alias("t_at"), F.col("path").alias("t_path"), F.col("done").alias("t_done"))
-        moved = s.join(t, F.col("anc") == F.col("t_id")).select("id", F.coalesce("t_anc", "anc").alias("anc"), (F.col("at") + F.col("t_at")).alias("at"), F.concat("t_path", "path").alias("path"), F.col("t_done").alias("done"), "inner")
-        old, down = down, cut(moved.unionByName(down.filter("done")))
-        drop(old)
-    placed = state.join(down.select("id", "at", "path"), "id", "left")
-    ok = F.col("done")
-    return placed.select(
-        "id",
-        "parent",
-        F.when(ok, F.coalesce("anc", "id")).alias("root"),
-        F.when(ok, F.col("dist")).alias("depth"),
-        F.when(ok, F.col("path")).alias("path"),
-        F.when(ok, F.col("at")).alias("lo"),
-        F.when(ok, F.col("at") + F.col("size") - 1).alias("hi"),
-        F.when(ok, F.col("size") - 1).alias("descendants"),
-        F.when(ok, "tree").otherwise("unprocessed").alias("state"),
-    )
-
-
-def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Descendants of the wanted nodes (column ``id``) by their nested-set ranges: id, descendant, distance.
-
-    The ranges meet on the root and on a block of preorder numbers, so a tree
-    of any size is joined in many small groups.
-    """
-    size = 4096
-    block = F.floor(F.col("lo") / size)
-    tops = tree.filter(F.col("state") == "tree").join(wanted.select("id").distinct(), "id", "left_semi")
-    tops = tops.select("id", "root", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("depth").alias("top_depth"), F.explode(F.sequence(block, F.floor(F.col("hi") / size))).alias("block"))
-    nodes = tree.filter(F.col("state") == "tree").select(F.col("id").alias("descendant"), "root", block.alias("block"), F.col("lo").alias("at"), "depth")
-    return tops.join(nodes, ["root", "block"]).filter((F.col("at") > F.col("a")) & (F.col("at") <= F.col("b"))).select("id", "descendant", (F.col("depth") - F.col("top_depth")).alias("distance"))
+    with scratch(links.sparkSession) as keep:
+        found, rest, _ = _climb(parents(links).drop("several"), with_sizes=True)
+        tree = cut(found)
+        sized = tree.select("id", "parent", "size", "inner")
+        ordered = running(sized.filter(F.col("parent").isNotNull()), ["parent"], ["id"], F.col("size"), "before")
+        one, none = F.lit(1).cast("long"), F.lit(None)
+        start = ordered.select("id", F.col("parent").alias("anc"), (F.col("before") + 1).alias("at"), F.array("id").alias("path"), none.cast("long").alias("tree_size"), F.lit(False).alias("done"), "inner")
+        tops = sized.filter(F.col("parent").isNull()).select("id", none.cast("string").alias("anc"), one.alias("at"), F.array("id").alias("path"), F.col("size").alias("tree_size"), F.lit(True).alias("done"), "inner")
+        tables = [cut(start.unionByName(tops), ~F.col("done"))]
+        while tables[-1].n_where:
+            s = tables[-1].filter("NOT done")
+            t = _union([x.filter("done AND inner") for x in tables] + [s.filter("inner")]).select(*[F.col(c).alias(f"t_{c}") for c in ("id", "anc", "at", "path", "tree_size", "done")])
+            moved = s.join(t, F.col("anc") == F.col("t_id")).select("id", F.coalesce("t_anc", "anc").alias("anc"), (F.col("at") + F.col("t_at")).alias("at"), F.concat("t_path", "path").alias("path"), F.col("t_tree_size").alias("tree_size"), F.col("t_done").alias("done"), "inner")
+            tables.append(cut(moved, ~F.col("done")))
+        down = _union([x.filter("done") for x in tables]).select("id", "at", "path", "tree_size")
+        placed = tree.join(down, "id").select(
+            "id", "parent", "root", "depth", "path", F.col("at").alias("lo"), (F.col("at") + F.col("size") - 1).alias("hi"), (F.col("size") - 1).alias("descendants"), "tree_size", F.lit("tree").alias("state")
+        )
+        bare = {f.name: f.dataType for f in placed.schema.fields}
+        left = rest.select("id", "parent", *[none.cast(t).alias(c) for c, t in bare.items() if c not in ("id", "parent", "state")], F.lit("unprocessed").alias("state"))
+        return keep(cut(placed.unionByName(left)))
 
 
-def all_descendants(tree: DataFrame) -> DataFrame:
-    """Descendants of every node of the trees: id, descendant, distance.
+TOP_POWER = 12  # blocks of preorder numbers have at most 2 to this power
 
-    A node's path already lists all its ancestors, so nothing is joined and the
-    work is the number of pairs, whatever the sizes of the trees.
+
+def _powers(n: Column) -> Column:
+    """0 up to how often a number can be halved before it is 0, or up to the highest power."""
+    return F.sequence(F.lit(0), F.least(F.length(F.bin(n)), F.lit(TOP_POWER)))
+
+
+def range_pairs(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Pairs of a node and one of its descendants by their nested-set ranges: id, descendant, distance.
+
+    ``wanted`` (column ``id``) limits the nodes whose descendants are asked for.
+    A range is taken apart into aligned blocks of powers of two, at most two of
+    each but the highest, and a node is in one block of each power. They meet
+    on (root, power, block) by equality, so that only true pairs are formed,
+    each once, and a group has at most 4,096 nodes however large the tree is.
+    """
+    own = tree.filter(F.col("state") == "tree")
+    tops = own.filter("descendants > 0")
+    if wanted is not None:
+        tops = tops.join(wanted.select("id").distinct(), "id", "left_semi")
+    # of lo + 1 .. hi: at each power an odd first and an odd last block, and at the highest all that are left
+    t = tops.select("id", "root", F.col("depth").alias("top_depth"), (F.col("lo") + 1).alias("a"), (F.col("hi") + 1).alias("b"), F.explode(_powers(F.col("hi") + 1)).alias("power"))
+    t = t.withColumn("l", F.expr("shiftright(a + shiftleft(1L, power) - 1, power)")).withColumn("r", F.expr("shiftright(b, power)")).filter("l < r")
+    ends = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
+    blocks = F.when(F.col("power") == TOP_POWER, F.sequence("l", F.col("r") - 1)).otherwise(ends)
+    pieces = t.select("id", "root", "top_depth", "power", F.explode(blocks).alias("block"))
+    nodes = own.filter(F.col("parent").isNotNull()).select(F.col("id").alias("descendant"), "root", "depth", "lo", F.explode(_powers(F.col("tree_size") + 1)).alias("power"))
+    nodes = nodes.withColumn("block", F.expr("shiftright(lo, power)")).drop("lo")
+    return pieces.join(nodes, ["root", "power", "block"]).select("id", "descendant", (F.col("depth") - F.col("top_depth")).alias("distance"))
+
+
+def ancestors(tree: DataFrame) -> DataFrame:
+    """Ancestors of every node of the trees: id, ancestor, distance.
+
+    A node's path already lists them, so nothing is joined and the work is the
+    number of pairs, whatever the sizes of the trees.
     """
     above = F.slice("path", 1, F.col("depth").cast("int"))
-    pairs = tree.filter(F.col("state") == "tree").select(F.col("id").alias("descendant"), "depth", F.posexplode(above).alias("at", "ancestor"))
-    return pairs.select(F.col("ancestor").alias("id"), "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    pairs = tree.filter(F.col("state") == "tree").select("id", "depth", F.posexplode(above).alias("at", "ancestor"))
+    return pairs.select("id", "ancestor", (F.col("depth") - F.col("at")).alias("distance"))

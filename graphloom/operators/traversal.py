@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_parts, words
+from graphloom.operators import components
 from graphloom.operators.graph import CALLABLE, DATA_FLOW, FORWARD, REVERSE, STRUCTURAL, SUBTYPING, TYPE_KINDS, Graph, detail, is_public
-from graphloom.session import cut, drop
+from graphloom.session import cut, drop, small
 
 
 def kinds_of(mode: str = "calls", edge_types: list[str] | None = None) -> tuple[set[str], set[str]]:
@@ -33,7 +34,7 @@ def kinds_of(mode: str = "calls", edge_types: list[str] | None = None) -> tuple[
 
 
 def steps(edges: DataFrame, inbound: bool, mode: str = "calls", edge_types: list[str] | None = None) -> DataFrame:
-    """Directed steps (a, b, kind) that a traversal may take."""
+    """Directed steps (a, b, kind) that a traversal may take; repeats stay."""
     along, against = kinds_of(mode, edge_types)
     ahead = edges.filter(~F.col("kind").isin(*REVERSE)) if mode == "all" and not edge_types else edges.filter(F.col("kind").isin(*along)) if along else edges.limit(0)
     back = edges.filter(F.col("kind").isin(*against)) if against else None
@@ -42,7 +43,7 @@ def steps(edges: DataFrame, inbound: bool, mode: str = "calls", edge_types: list
         out = out.unionByName(back.select(F.col("dst").alias("a"), F.col("src").alias("b"), "kind"))
     if inbound:
         out = out.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind")
-    return out.distinct()
+    return out
 
 
 def reach(step: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -55,21 +56,25 @@ def reach(step: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = cut(seeds.select("id").dropna().distinct().select("id", F.lit(0).alias("distance"), no.alias("via"), no.alias("via_kind")))
     front = seen
     for d in range(1, depth + 1):
-        sent = step.join(front.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "kind")).alias("m"))
+        sent = step.join(small(front).select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "kind")).alias("m"))
         front = cut(sent.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("distance"), F.col("m.a").alias("via"), F.col("m.kind").alias("via_kind")))
-        if not front.limit(1).count():
+        if not front.n_rows:
             break
         seen = seen.unionByName(front)
     return seen
 
 
+SCANS = 4  # levels up to which a traversal scans the occurrences for each
+
+
 def impact(g: Graph, seeds: DataFrame, depth: int = 3, inbound: bool = True, mode: str = "calls", edge_types: list[str] | None = None, frontier_cap: int | None = None) -> DataFrame:
     """Reachable nodes of a set of seeds: id, distance, via, via_kind, is_seed.
 
     ``frontier_cap`` refuses a traversal deeper than one level whose first
     level is larger, the way an interactive caller wants it.
     """
-    step = cut(steps(g.keys, inbound, mode, edge_types))
+    # few levels read the rows that meet the frontier; for many, the steps are brought together once
+    step = steps(g.triples, inbound, mode, edge_types) if depth <= SCANS else cut(steps(g.triples, inbound, mode, edge_types).distinct())
     if frontier_cap is not None and depth > 1:
         first = step.join(seeds.select(F.col("id").alias("a")).distinct(), "a").select("b").distinct().count()
         if first > frontier_cap:
@@ -91,14 +96,8 @@ def edge_descriptors(g: Graph, seeds: DataFrame, inbound: bool = True, mode: str
 
 def closure(step: DataFrame, seeds: DataFrame) -> DataFrame:
     """All ids that the steps (a, b) reach from the seeds: id; seeds are there only if reached."""
-    seen = cut(seeds.select("id").dropna().distinct())
-    front, got = seen, None
-    while True:
-        nxt = step.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        new = cut(nxt if got is None else nxt.join(got, "id", "left_anti"))
-        if not new.limit(1).count():
-            return got if got is not None else seeds.select("id").limit(0)
-        got, front = (new if got is None else got.unionByName(new)), new
+    first = cut(step.join(seeds.select(F.col("id").alias("a")).dropna().distinct(), "a").select(F.col("b").alias("id")).distinct())
+    return components.closure(step, first)
 
 
 def implementations(g: Graph) -> DataFrame:
@@ -115,9 +114,9 @@ def implementations(g: Graph) -> DataFrame:
     while True:
         nxt = front.alias("f").join(up.alias("u"), F.col("f.id") == F.col("u.base")).select(F.col("f.base").alias("base"), F.col("u.id").alias("id")).filter("base <> id").distinct()
         front = cut(nxt.join(seen, ["base", "id"], "left_anti"))
-        if not front.limit(1).count():
+        if not front.n_rows:
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
 def public_untested(g: Graph) -> DataFrame:
@@ -140,7 +139,7 @@ def shortest_paths(g: Graph, seeds: DataFrame, depth: int = 3, kinds: tuple[str,
     for d in range(1, depth + 1):
         sent = step.join(front.select(F.col("id").alias("a"), "path"), "a").groupBy(F.col("b").alias("id")).agg(F.min("path").alias("head"))
         front = cut(sent.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("distance"), F.concat("head", F.array("id")).alias("path")))
-        if not front.limit(1).count():
+        if not front.n_rows:
             break
         seen = seen.unionByName(front)
     return seen.select("id", "distance", F.array_join("path", " > ").alias("path"))
@@ -158,7 +157,7 @@ def call_paths(g: Graph, selected: DataFrame, inbound: bool) -> DataFrame:
     step = cut(calls.join(key, "b"))
     seen = cut(selected.select(F.col("id").alias("b")).distinct().join(key, "b").select(F.col("b").alias("id"), F.col("b").alias("other"), F.lit(0).alias("distance"), F.array("key").alias("path")))
     front, parts, d = seen, [seen], 0
-    while front.limit(1).count():
+    while front.n_rows:
         d += 1
         longer = F.concat(F.array("key"), "path") if inbound else F.concat("path", F.array("key"))
         sent = front.join(step, F.col("other") == F.col("a")).groupBy("id", F.col("b").alias("other")).agg(F.min(longer).alias("path"))
@@ -238,7 +237,7 @@ def waves(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     n = cut(needs.select("id", "needs").dropna().distinct().join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("needs")), "needs", "left_semi"))
     done = cut(ids.join(n, "id", "left_anti").select("id", F.lit(0).alias("wave")))
     front, open_, wave = done, n, 0
-    while front.limit(1).count():
+    while front.n_rows:
         wave += 1
         open_ = cut(open_.join(front.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"))
         freed = n.join(front.select(F.col("id").alias("needs")), "needs").select("id").distinct()

@@ -55,18 +55,21 @@ def p3_found(spark, d):
 
 
 def p3_tree(spark, d):
-    tree = hierarchy.hierarchy(hierarchy.containment_links(table(spark, d, "edge_occurrences")))
-    return tree.withColumn("path", F.array_join("path", " > "))
+    return _tree(spark, d).withColumn("path", F.array_join("path", " > ")).drop("tree_size")
+
+
+def _tree(spark, d):
+    return hierarchy.hierarchy(hierarchy.containment_links(table(spark, d, "edge_occurrences")))
 
 
 def p3_descendants(spark, d):
-    tree = hierarchy.hierarchy(hierarchy.containment_links(table(spark, d, "edge_occurrences")))
-    return hierarchy.descendants_of(tree, tree.filter(F.col("id").startswith("component:")).select("id"))
+    """Descendants of every node, by nested-set ranges."""
+    return hierarchy.range_pairs(_tree(spark, d))
 
 
-def p3_all_descendants(spark, d):
-    """Descendants of every node; p3_descendants gives those of components only."""
-    return hierarchy.all_descendants(hierarchy.hierarchy(hierarchy.containment_links(table(spark, d, "edge_occurrences"))))
+def p3_ancestors(spark, d):
+    """Ancestors of every node."""
+    return hierarchy.ancestors(_tree(spark, d))
 
 
 def p5_found(spark, d):
@@ -105,7 +108,7 @@ def p6_failed(spark, d):
     return p6_table(spark, d).select(F.explode("failed").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n_failed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_merged, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_all_descendants, p5_found, p5_keys, p6_found, p6_changes, p6_files, p6_types, p6_table, p6_failed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_merged, p1_counts, p2_found, p2_pending, p2_runs, p3_found, p3_tree, p3_descendants, p3_ancestors, p5_found, p5_keys, p6_found, p6_changes, p6_files, p6_types, p6_table, p6_failed)}
 
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/(\.?/)+', '/', 'g'), '^(\./+)+', '')"
 _HELD = rf"""named AS (
@@ -187,13 +190,13 @@ SELECT CASE WHEN t < lo + (hi - lo) * 4 // 10 THEN 1 WHEN t < lo + (hi - lo) * 7
     "p3_found": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON l.src = r.dst)
 SELECT min(b.dst) AS loop_id, a.src AS node_id FROM reach a JOIN reach b ON b.src = a.src JOIN reach c ON c.src = b.dst AND c.dst = a.src WHERE a.src = a.dst GROUP BY a.src""",
     "p3_descendants": f"""{_TREE}, below AS (
-  SELECT id, id AS descendant, CAST(0 AS BIGINT) AS distance FROM walk WHERE id LIKE 'component:%'
-  UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)
-SELECT id, descendant, distance FROM below WHERE distance > 0""",
-    "p3_all_descendants": f"""{_TREE}, below AS (
   SELECT id, id AS descendant, CAST(0 AS BIGINT) AS distance FROM walk
   UNION ALL SELECT b.id, u.id, b.distance + 1 FROM below b JOIN up u ON u.parent = b.descendant)
 SELECT id, descendant, distance FROM below WHERE distance > 0""",
+    "p3_ancestors": f"""{_TREE}, below AS (
+  SELECT id, id AS ancestor, CAST(0 AS BIGINT) AS distance FROM walk
+  UNION ALL SELECT b.id, u.parent, b.distance + 1 FROM below b JOIN up u ON u.id = b.ancestor)
+SELECT id, ancestor, distance FROM below WHERE distance > 0""",
     "p3_tree": f"""WITH RECURSIVE {_LINKS},
 up AS (SELECT dst AS id, min(src) AS parent FROM links GROUP BY dst),
 ids AS (SELECT src AS id FROM links UNION SELECT dst FROM links),

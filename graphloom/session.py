@@ -9,7 +9,7 @@ import uuid
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,20 +66,29 @@ def fresh(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, where: Column | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage.
 
     Unlike a block-manager checkpoint the copy survives lost executors, and as
     Parquet it is compressed and can be read by column. ``n_rows`` of the
-    result is the number of rows, counted while writing.
+    result is the number of rows, and ``n_where`` that of the rows that meet
+    the condition, both counted while writing.
     """
     at, seen = fresh(df.sparkSession), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.lit(True) if where is None else where).alias("w")).write.parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out.cut_at, out.n_rows = at, seen.get.get("n", 0)
+    out.cut_at, out.n_rows, out.n_where = at, seen.get.get("n", 0), seen.get.get("w", 0)
     return out
 
 
+SMALL = 100_000  # rows of short columns that are sent to every task
+
+
+def small(df: DataFrame) -> DataFrame:
+    """What :func:`cut` returned, to be broadcast if it was counted to be small; else Spark's own choice."""
+    return F.broadcast(df) if df.n_rows <= SMALL else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind what :func:`cut` returned; for rounds whose successor is written."""
     at = getattr(df, "cut_at", None)

@@ -3,7 +3,8 @@ import random
 from conftest import rows
 
 from graphloom.operators.components import strong_components
-from graphloom.operators.hierarchy import circles, containment_links, descendants_of, hierarchy
+from graphloom.operators import hierarchy as module
+from graphloom.operators.hierarchy import ancestors, circles, containment_links, hierarchy, range_pairs
 
 OCC = "owner_path string, ordinal long, src string, kind string, dst string, root string"
 
@@ -57,16 +58,15 @@ def test_several_parents_fall_back_to_components(spark):
     assert rows(circles(links(spark, pairs))) == brute_components(pairs)
 
 
-def test_components_by_both_ways(spark):
+def test_components_of_a_random_graph(spark):
     r = random.Random(5)
     pairs = [(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(38)] + [("x", "x"), (None, "n1"), ("n1", None)]
     df = spark.createDataFrame(pairs, "src string, dst string")
     want = brute_components([p for p in pairs if None not in p])
-    for limit in (0, 10**6):
-        assert rows(strong_components(df, local_edges=limit), "component", "id") == want
+    assert rows(strong_components(df), "component", "id") == want
 
 
-def test_hierarchy_against_brute_force(spark):
+def test_hierarchy_against_brute_force(spark, monkeypatch):
     pairs = random_forest(1) + [("hub", f"k{i:03}") for i in range(200)]
     up = {b: a for a, b in pairs}
     got = {r["id"]: r for r in hierarchy(links(spark, pairs)).collect()}
@@ -89,7 +89,12 @@ def test_hierarchy_against_brute_force(spark):
         assert inside == below
     tree = hierarchy(links(spark, pairs))
     want = spark.createDataFrame([("hub",), ("n0",)], "id string")
-    assert len(rows(descendants_of(tree, want))) == 200 + sum(1 for q in paths.values() if q and "n0" in q[:-1])
+    assert len(rows(range_pairs(tree, want))) == 200 + sum(1 for q in paths.values() if q and "n0" in q[:-1])
+    pairs = sorted((q[i], n, len(q) - 1 - i) for n, q in paths.items() if q for i in range(len(q) - 1))
+    assert rows(ancestors(tree), "ancestor", "id", "distance") == pairs
+    for top in (12, 3, 0):
+        monkeypatch.setattr(module, "TOP_POWER", top)
+        assert rows(range_pairs(tree), "id", "descendant", "distance") == pairs
 
 
 def test_empty_and_null_links(spark):
