@@ -10,7 +10,7 @@ _TOKEN = re.compile(
     r"""(?P<ws>\s+)
     |(?P<com>--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)
     |(?P<str>(?:[eEbBxXnN](?='))?'(?:[^']|'')*')
-    |(?P<dollar>\$([A-Za-z_]\w*)?\$.*?\$(?:\2)?\$)
+    |(?P<dollar>\$(?P<tag>[A-Za-z_]\w*)?\$.*?\$(?(tag)(?P=tag))\$)
     |(?P<quoted>"(?:[^"]|"")+"|`[^`]+`)
     |(?P<num>(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)(?![A-Za-z_]))
     |(?P<param>\?|\$\d+|[:@][A-Za-z_]\w*)
@@ -23,6 +23,7 @@ _RESERVED = frozenset(
     "ALL ALTER AND ANY AS ASC BEGIN BETWEEN BY CASE CAST CHECK COLLATE COMMIT CONSTRAINT CREATE CROSS DEFAULT DELETE DESC DISTINCT DROP ELSE END EXCEPT EXISTS FETCH FOR FOREIGN FROM FULL GRANT GROUP HAVING IN INNER INSERT INTERSECT INTO IS JOIN LEFT LIKE ILIKE LIMIT NATURAL NOT NULL OFFSET ON OR ORDER OUTER PRIMARY REFERENCES RETURNING REVOKE RIGHT ROLLBACK SELECT SET SOME TABLE THEN TO UNION UNIQUE UPDATE USING VALUES WHEN WHERE WINDOW WITH".split()
 )
 _START = frozenset(["SELECT", "INSERT", "CREATE", "DROP", "ALTER", "UPDATE", "DELETE"])
+_PLACES = ("BEFORE", "AFTER", "INSTEAD")
 _LEVEL = {
     "OR": 1, "AND": 2, "IS": 4, "IN": 4, "LIKE": 4, "ILIKE": 4, "BETWEEN": 4, "NOT": 4, "=": 4, "==": 4, "<>": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "<=>": 4, "~": 4, "~*": 4, "!~": 4, "!~*": 4,
     "|": 5, "&": 5, "<<": 5, ">>": 5, "||": 6, "->": 6, "->>": 6, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8, "^": 9, "COLLATE": 10, "::": 11,
@@ -97,22 +98,68 @@ class Sql(Parser):
             self.delete()
         elif self.take("CREATE"):
             self.create()
+        elif self.take("MERGE"):
+            self.merge()
         elif self.take("DROP"):
             self.kind_of_object()
+            self.take("CONCURRENTLY")
             self.take("IF", "EXISTS")
-            self.listed(self.name)
+            self.listed(self.dropped)
+            if self.take("ON"):
+                self.name()
             self.take("CASCADE") or self.take("RESTRICT")
         elif self.take("ALTER"):
             self.alter()
         elif self.take("TRUNCATE"):
             self.take("TABLE")
             self.listed(self.name)
+            self.take("RESTART", "IDENTITY") or self.take("CONTINUE", "IDENTITY")
+            self.take("CASCADE") or self.take("RESTRICT")
+        elif self.take("CALL"):
+            self.name()
+            self.arguments()
+        elif self.take("COPY"):
+            self.copy()
+        elif self.take("SAVEPOINT"):
+            self.expect("id")
+        elif self.take("RELEASE"):
+            self.take("SAVEPOINT")
+            self.expect("id")
+        elif self.take("ROLLBACK", "TO") or self.take("ROLLBACK", "TRANSACTION", "TO") or self.take("ROLLBACK", "WORK", "TO"):
+            self.take("SAVEPOINT")
+            self.expect("id")
+        elif self.take("DO"):
+            if self.take("LANGUAGE"):
+                self.expect("id")
+            self.expect("str")
+        elif self.take("USE"):
+            self.name()
+        elif self.take("REFRESH", "MATERIALIZED", "VIEW"):
+            self.take("CONCURRENTLY")
+            self.name()
+        elif self.take("PREPARE"):
+            self.expect("id")
+            if self.accept("("):
+                self.listed(self.type_name)
+                self.expect(")")
+            self.need("AS")
+            self.statement()
+        elif self.take("EXECUTE"):
+            self.expect("id")
+            if self.at("("):
+                self.arguments()
+        elif self.take("TABLE"):
+            self.name()
         elif self.take("EXPLAIN"):
             self.take("ANALYZE")
             self.take("QUERY", "PLAN")
             self.statement()
-        elif self.take("BEGIN") or self.take("START") or self.take("COMMIT") or self.take("ROLLBACK") or self.take("END"):
+        elif self.take("BEGIN") or self.take("START", "TRANSACTION") or self.take("COMMIT") or self.take("ROLLBACK") or self.take("END"):
+            self.take("DEFERRED") or self.take("IMMEDIATE") or self.take("EXCLUSIVE")
             self.take("TRANSACTION") or self.take("WORK")
+            if self.take("ISOLATION", "LEVEL"):
+                self.take("SERIALIZABLE") or self.take("REPEATABLE", "READ") or self.take("READ", "COMMITTED") or self.need("READ", "UNCOMMITTED")
+            self.take("READ", "ONLY") or self.take("READ", "WRITE")
         elif self.take("GRANT") or self.take("REVOKE"):
             self.listed(self.privilege)
             self.need("ON")
@@ -143,9 +190,177 @@ class Sql(Parser):
 
     def kind_of_object(self) -> None:
         self.take("MATERIALIZED")
-        if not any(self.take(w) for w in ("TABLE", "VIEW", "INDEX", "SCHEMA", "SEQUENCE", "TYPE", "TRIGGER", "FUNCTION", "DATABASE", "COLUMN")):
+        if not any(self.take(w) for w in ("TABLE", "VIEW", "INDEX", "SCHEMA", "SEQUENCE", "TYPE", "TRIGGER", "FUNCTION", "PROCEDURE", "DATABASE", "COLUMN", "EXTENSION", "ROLE", "USER")):
             self.fail("kind of object expected")
 
+    def dropped(self) -> None:
+        self.name()
+        if self.accept("("):  # the arguments of a function
+            if not self.at(")"):
+                self.listed(self.parameter)
+            self.expect(")")
+
+    def merge(self) -> None:
+        """MERGE after its first word."""
+        self.need("INTO")
+        self.name()
+        if not self.at("USING"):
+            self.alias()
+        self.need("USING")
+        self.table_primary()
+        self.need("ON")
+        self.expression()
+        if not self.at("WHEN"):
+            self.fail("expected WHEN")
+        while self.take("WHEN"):
+            self.take("NOT")
+            self.need("MATCHED")
+            if self.take("BY"):
+                self.take("SOURCE") or self.need("TARGET")
+            if self.take("AND"):
+                self.expression()
+            self.need("THEN")
+            if self.take("UPDATE"):
+                self.need("SET")
+                self.listed(self.assignment)
+            elif self.take("INSERT"):
+                if self.at("("):
+                    self.names()
+                if not self.take("DEFAULT", "VALUES"):
+                    self.need("VALUES")
+                    self.row()
+            elif not self.take("DELETE"):
+                self.need("DO", "NOTHING")
+        self.returning()
+
+    def copy(self) -> None:
+        """COPY after its first word."""
+        if self.accept("("):
+            self.statement()
+            self.expect(")")
+        else:
+            self.name()
+            if self.at("("):
+                self.names()
+        self.take("TO") or self.need("FROM")
+        if not self.accept("str"):
+            self.expect("id")
+        self.take("WITH")
+        if self.accept("("):
+            self.listed(self.option)
+            self.expect(")")
+        while self.at("id", "NULL"):
+            self.option()
+        if self.take("WHERE"):
+            self.expression()
+
+    def option(self) -> None:
+        """A word, and the value it may have."""
+        self.skip()
+        self.take("AS")
+        if self.at("("):
+            self.names()
+        elif self.at("str", "num", "id", "NULL"):
+            self.skip()
+
+    def parameter(self) -> None:
+        """A parameter of a function: mode, name, type and default, of which only the type must be there."""
+        self.take("INOUT") or self.take("OUT") or self.take("VARIADIC") or self.take("IN")
+        self.type_name()
+        if self.at("id"):
+            self.type_name()
+        if self.take("DEFAULT") or self.accept("="):
+            self.expression()
+
+    def function(self) -> None:
+        """CREATE FUNCTION or PROCEDURE after these words."""
+        self.name()
+        self.expect("(")
+        if not self.at(")"):
+            self.listed(self.parameter)
+        self.expect(")")
+        if self.take("RETURNS"):
+            if self.take("TABLE"):
+                self.expect("(")
+                self.listed(self.parameter)
+                self.expect(")")
+            else:
+                self.take("SETOF")
+                self.type_name()
+        body = False
+        while not self.at("eof", ";"):
+            if self.take("AS"):
+                self.expect("str")
+                if self.accept(","):
+                    self.expect("str")
+                body = True
+            elif self.take("RETURN"):
+                self.expression()
+                body = True
+            elif self.take("BEGIN", "ATOMIC") or self.take("BEGIN"):
+                self.block()
+                body = True
+            elif self.take("LANGUAGE"):
+                self.accept("str") or self.expect("id")
+            elif self.take("SET"):
+                self.name()
+                self.accept("=") or self.need("TO")
+                self.listed(self.expression)
+            elif self.take("COST") or self.take("ROWS"):
+                self.expect("num")
+            elif self.take("NOT"):
+                self.need("DETERMINISTIC") if self.word("DETERMINISTIC") else self.need("LEAKPROOF")
+            elif self.take("CALLED", "ON", "NULL", "INPUT") or self.take("RETURNS", "NULL", "ON", "NULL", "INPUT") or self.take("PARALLEL"):
+                if self.word("SAFE", "UNSAFE", "RESTRICTED"):
+                    self.skip()
+            elif not any(self.take(w) for w in ("IMMUTABLE", "STABLE", "VOLATILE", "STRICT", "LEAKPROOF", "DETERMINISTIC")) and not self.take("SECURITY", "DEFINER") and not self.take("SECURITY", "INVOKER"):
+                self.fail("option of a function expected")
+        if not body:
+            self.fail("body expected")
+
+    def block(self) -> None:
+        """Statements up to END."""
+        while not self.take("END"):
+            if self.take("RETURN"):
+                self.expression()
+            else:
+                self.statement()
+            self.expect(";")
+
+    def trigger(self) -> None:
+        """CREATE TRIGGER after these words."""
+        self.take("IF", "NOT", "EXISTS")
+        self.name()
+        if self.word(*_PLACES):
+            self.take("INSTEAD", "OF") or self.skip()
+        while True:
+            if self.take("UPDATE"):
+                if self.take("OF"):
+                    self.listed(self.name)
+            elif not (self.take("INSERT") or self.take("DELETE") or self.take("TRUNCATE")):
+                self.fail("event expected")
+            if not self.take("OR"):
+                break
+        self.need("ON")
+        self.name()
+        if self.take("REFERENCING"):
+            while self.word("OLD", "NEW"):
+                self.skip()
+                self.need("TABLE")
+                self.take("AS")
+                self.expect("id")
+        if self.take("FOR"):
+            self.take("EACH")
+            self.take("ROW") or self.need("STATEMENT")
+        if self.take("WHEN"):
+            self.expression()
+        if self.take("BEGIN"):
+            return self.block()
+        self.need("EXECUTE")
+        self.take("FUNCTION") or self.need("PROCEDURE")
+        self.name()
+        self.arguments()
+
     def with_query(self) -> None:
         if self.take("WITH"):
             self.take("RECURSIVE")
@@ -300,10 +515,19 @@ class Sql(Parser):
             self.expect("id")
             if self.at("("):
                 self.names()
-        elif self.at("id") and not self.word("QUALIFY", "SEMI", "ANTI"):
+        elif self.at("id") and not self.word("QUALIFY", "SEMI", "ANTI", "TABLESAMPLE"):
             self.skip()
             if self.at("("):
                 self.names()
+        if self.take("TABLESAMPLE"):
+            if self.at("id"):
+                self.name()
+            self.expect("(")
+            self.expression()
+            self.take("PERCENT") or self.take("ROWS")
+            self.expect(")")
+            if self.take("REPEATABLE"):
+                self.parenthesised()
 
     def insert(self) -> None:
         if self.take("OR"):
@@ -406,7 +630,30 @@ class Sql(Parser):
             self.expect(")")
             if self.take("WHERE"):
                 self.expression()
-        elif self.take("SCHEMA") or self.take("DATABASE") or self.take("SEQUENCE"):
+        elif self.take("FUNCTION") or self.take("PROCEDURE"):
+            self.function()
+        elif self.take("CONSTRAINT", "TRIGGER") or self.take("TRIGGER"):
+            self.trigger()
+        elif self.take("SEQUENCE"):
+            self.take("IF", "NOT", "EXISTS")
+            self.name()
+            while not self.at("eof", ";"):
+                if self.take("START") or self.take("INCREMENT"):
+                    self.take("WITH") or self.take("BY")
+                    self.accept("-")
+                    self.expect("num")
+                elif self.take("MINVALUE") or self.take("MAXVALUE") or self.take("CACHE"):
+                    self.accept("-")
+                    self.expect("num")
+                elif self.take("OWNED", "BY"):
+                    self.name()
+                elif self.take("NO"):
+                    self.take("MINVALUE") or self.take("MAXVALUE") or self.need("CYCLE")
+                elif self.take("AS"):
+                    self.type_name()
+                else:
+                    self.need("CYCLE")
+        elif self.take("SCHEMA") or self.take("DATABASE") or self.take("EXTENSION"):
             self.take("IF", "NOT", "EXISTS")
             self.name()
         elif self.take("TYPE"):
@@ -681,6 +928,11 @@ class Sql(Parser):
                 self.need("WHERE")
                 self.expression()
                 self.expect(")")
+            if self.take("WITHIN", "GROUP"):
+                self.expect("(")
+                self.need("ORDER", "BY")
+                self.listed(self.order_item)
+                self.expect(")")
             if self.take("OVER"):
                 if not self.accept("id"):
                     self.window()

@@ -20,14 +20,15 @@ from graphloom.llm.parsing.base import SyntaxIssue
 
 CHECKS = {"py": python_.check, "rs": rust.check, "ts": typescript.check, "go": go.check, "json": json_.check, "toml": toml_.check, "sql": sql.check, "md": lambda source: []}
 LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "go": "go", "json": "json", "toml": "toml", "sql": "sql", "md": "markdown"}
-DEPTH = 20_000  # Python frames a parser may nest
+DEPTH = 4_000_000  # Python frames a parser may nest; about 100 bytes each, 10 to 15 a bracket
 HELD = 100_000  # errors after which a worker hands over its rows, as a file may have any number
 
 
 def issues(path: str, content: str | None) -> list[SyntaxIssue] | None:
-    """The errors of a file; None where the content is null or the ending names no language.
+    """The errors of a file; None where the content is null, the ending names no language, or a text nests too deeply to be judged.
 
-    A text nested too deeply for the parser counts as one error.
+    Too deep are more than some 250,000 brackets within each other; JSON may
+    nest to any depth.
     """
     check = CHECKS.get(path.rpartition(".")[2].lower())
     if check is None or content is None:
@@ -37,13 +38,14 @@ def issues(path: str, content: str | None) -> list[SyntaxIssue] | None:
     try:
         return check(content)
     except RecursionError:
-        return [SyntaxIssue(1, "nested too deeply")]
+        return None
 
 
 def parsed(texts: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per row with a path: path, language, valid, n_errors, first_line, first_cause, errors.
 
-    ``valid`` is null for null contents and endings of no known language. As
+    ``valid`` is null for null contents, endings of no known language and texts
+    that nest too deeply to be judged (:func:`issues`). As
     parsing costs far more than reading, rows are dealt out over ``partitions``
     tasks first (by default by their number and Spark's parallelism).
     """

@@ -142,3 +142,53 @@ def test_files_rates_and_causes(spark):
     assert rows(validity.invalid_files(df), "path") == [("q/e.json",), ("q/j.json",), ("r/b.py",), ("r/k.PY",)]
     assert rows(validity.rates(df), "repo", "language", "n_files", "n_judged", "n_invalid") == sorted([("q", "json", 3, 3, 2), ("q", "markdown", 1, 1, 0), ("q", "rust", 1, 1, 0), ("q", None, 1, 0, 0), ("r", "python", 5, 4, 2)], key=repr)
     assert validity.invalid_files(df.limit(0)).count() == 0 and validity.causes(df).count() > 0
+
+
+FURTHER_SQL = [
+    "MERGE INTO t AS a USING (SELECT 1 AS x) s ON a.x = s.x WHEN MATCHED AND a.y > 1 THEN UPDATE SET y = s.x, z = DEFAULT WHEN NOT MATCHED THEN INSERT (x, y) VALUES (s.x, 2) WHEN NOT MATCHED BY SOURCE THEN DELETE;",
+    "CALL refresh(1, 'x'); CALL s.p();", "COPY t (a, b) FROM 'f.csv' WITH (FORMAT csv, HEADER true, DELIMITER ','); COPY (SELECT 1) TO STDOUT; COPY t FROM STDIN CSV HEADER;",
+    "BEGIN; SAVEPOINT a; ROLLBACK TO SAVEPOINT a; RELEASE SAVEPOINT a; COMMIT; START TRANSACTION READ ONLY; BEGIN ISOLATION LEVEL REPEATABLE READ; ROLLBACK;",
+    "CREATE TRIGGER g BEFORE INSERT OR UPDATE OF a, b ON t FOR EACH ROW WHEN (new.a > 1) EXECUTE FUNCTION f('x');", "CREATE TRIGGER IF NOT EXISTS g AFTER DELETE ON t BEGIN INSERT INTO log VALUES (old.a); DELETE FROM u WHERE a = old.a; END;",
+    "CREATE OR REPLACE FUNCTION f(a int, INOUT b text DEFAULT 'x', double precision) RETURNS TABLE (c int, d text) LANGUAGE plpgsql STABLE STRICT AS $$ BEGIN not sql at all ( END $$;", "CREATE FUNCTION g() RETURNS trigger AS $body$ x $body$ LANGUAGE plpgsql", "CREATE FUNCTION h(x int) RETURNS int RETURN x + 1",
+    "CREATE PROCEDURE p(a int) LANGUAGE sql BEGIN ATOMIC INSERT INTO t VALUES (a); END", "SELECT * FROM t TABLESAMPLE BERNOULLI (10) REPEATABLE (3) JOIN u x TABLESAMPLE (5 PERCENT) ON t.a = x.a",
+    "DO $$ anything $$", "DROP FUNCTION IF EXISTS f(int, text) CASCADE; DROP TRIGGER g ON t; TRUNCATE t, u RESTART IDENTITY CASCADE; REFRESH MATERIALIZED VIEW v; CREATE SEQUENCE q START WITH 1 INCREMENT BY -2 NO CYCLE OWNED BY t.a", "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY a) FROM t",
+]
+BROKEN_SQL = ["MERGE INTO t USING s ON a = b", "MERGE INTO t USING s WHEN MATCHED THEN DELETE", "CALL f", "COPY t 'x'", "SAVEPOINT", "CREATE TRIGGER g BEFORE ON t EXECUTE FUNCTION f()", "CREATE TRIGGER g AFTER DELETE ON t BEGIN DELETE FROM u END", "CREATE FUNCTION f( RETURNS int AS 'x'", "CREATE FUNCTION f() RETURNS int", "CREATE FUNCTION f() RETURNS int AS x", "SELECT * FROM t TABLESAMPLE BERNOULLI"]
+
+
+@pytest.mark.parametrize("text", FURTHER_SQL)
+def test_further_sql_statements(text):
+    assert sql.check(text) == []
+
+
+@pytest.mark.parametrize("text", BROKEN_SQL)
+def test_broken_further_sql_statements(text):
+    assert sql.check(text)
+
+
+DEEP = {"rs": "fn f() {{ let x = {}1{}; }}", "go": "package a\nvar x = {}1{}\n", "ts": "let x = {}1{};", "sql": "SELECT {}1{}"}
+
+
+@pytest.mark.parametrize("ending", sorted(DEEP))
+def test_depth_does_not_make_a_valid_text_invalid(ending):
+    n = 20_000
+    assert validity.issues("a." + ending, DEEP[ending].format("(" * n, ")" * n)) == []
+    assert validity.issues("a." + ending, DEEP[ending].format("(" * n, ")" * (n - 1)))
+
+
+def test_json_nests_to_any_depth_and_keeps_all_errors():
+    n = 1_000_000
+    assert validity.issues("a.json", "[" * n + "]" * n) == []
+    assert len(validity.issues("a.json", "[" * n + "]" * (n - 1))) == 1
+    assert len(validity.issues("a.json", "@ " * 5000)) >= 5000
+    got = validity.issues("a.json", "{\n" + '"a" 1,\n' * 3000 + '"b": 2}')
+    assert {x.line for x in got} == set(range(2, 3002))
+    assert len(validity.issues("a.json", "[1 2, , }] 3")) >= 4
+
+
+def test_what_nests_too_deeply_is_not_judged(spark, monkeypatch):
+    def deep(source):
+        raise RecursionError
+
+    monkeypatch.setattr(validity, "CHECKS", validity.CHECKS | {"rs": deep})
+    assert validity.issues("a.rs", "fn f() {}") is None
