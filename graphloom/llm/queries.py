@@ -51,11 +51,16 @@ def p9_levels(spark, d):
     return _levels(spark, d)
 
 
+def p9_formula(spark, d):
+    """The plain two-figure formula, which needs no judgements."""
+    return reading.reading_levels(table(spark, d, "documents")).select("doc_id", "lang", "unfamiliar", "sentence_length", "formula", "demanding")
+
+
 def p9_profile(spark, d):
     return reading.profile(_levels(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p4_causes, p7_ids, p7_decoded, p8_packed, p8_utilisation, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p4_causes, p7_ids, p7_decoded, p8_packed, p8_utilisation, p9_found, p9_levels, p9_formula, p9_profile)}
 
 SQL = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -10,8 +10,8 @@ and identifiers are passed over.
 
 from __future__ import annotations
 
-import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -43,7 +43,9 @@ WORDS_KEPT = 200_000  # entries of a worker's memory of tokens, or of counts bef
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _EDGES = "\"'“”„‘’«»‹›()[]{}<>.,;:!?¡¿…*_~—–-"
-_END = (".", "!", "?", "…")
+_END = (".", "!", "?", "…", "。", "！", "？", "।")
+# scripts written without spaces: each letter is taken for a word
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[\U00020000-\U0003ffff])")
 
 
 def _word(token: str) -> tuple[str | None, bool]:
@@ -52,9 +54,9 @@ def _word(token: str) -> tuple[str | None, bool]:
     tail = token.rstrip("\"'“”‘’«»)]}*_~")
     ends = tail.endswith(_END)
     letters = bare.replace("-", "").replace("'", "").replace("’", "")
-    if not letters.isalpha() or max(letters) > "ɏ":
+    if not letters.isalpha():
         return None, ends
-    if not (letters.islower() or letters.isupper() or letters[1:].islower() or "-" in bare):
+    if not (letters.islower() or letters.isupper() or letters[1:].islower() or "-" in bare or letters.lower() == letters.upper()):
         return None, ends
     return bare.lower(), ends
 
@@ -82,6 +84,8 @@ class Prose:
                 continue
             if "`" in line:
                 line = _INLINE.sub(" ", line)
+            if not line.isascii() and _UNSPACED.search(line):
+                line = _UNSPACED.sub(r" \1 ", line)
             for token in line.split():
                 got = known.get(token)
                 if got is None:
@@ -102,8 +106,19 @@ class Prose:
 
 
 def language(words: Counter) -> str:
-    """The language whose function words are most of the words; the first of LANGUAGES if none are."""
-    return max(LANGUAGES, key=lambda lang: sum(words[w] for w in _VOTES[lang]))
+    """The language whose function words are most of the words; without any, the words' script, as ``script:greek``.
+
+    Latin words without function words count as the first of LANGUAGES.
+    """
+    votes = {lang: sum(words[w] for w in own) for lang, own in _VOTES.items()}
+    best = max(LANGUAGES, key=votes.__getitem__)
+    if votes[best] or all(w < "\u0250" for w in words):
+        return best
+    scripts = Counter()
+    for w, n in words.items():
+        scripts[unicodedata.name(w[0], "unknown").partition(" ")[0].lower()] += n
+    script = min(scripts, key=lambda x: (-scripts[x], x))
+    return best if script == "latin" else f"script:{script}"
 
 
 class Lists:
@@ -111,7 +126,7 @@ class Lists:
 
     def __init__(self, shares: dict[str, dict[str, float]]) -> None:
         flat = [(lang, w, v) for lang, words in sorted(shares.items()) for w, v in sorted(words.items())]
-        self.numbers: dict[str, dict[str, int]] = {lang: {} for lang in LANGUAGES}
+        self.numbers: dict[str, dict[str, int]] = defaultdict(dict)
         for i, (lang, w, _) in enumerate(flat):
             self.numbers[lang][w] = i + 1
         share = np.array([0.0, *(v for _, _, v in flat)])
@@ -241,20 +256,35 @@ def judged(labels: DataFrame) -> DataFrame:
     return latest.groupBy("doc_id").agg(F.avg("r.level").alias("level"))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Every document's estimate: doc_id, lang, n_words, unfamiliar, sentence_length, score, demanding.
+def plain_formula(unfamiliar: np.ndarray, sentence_length: np.ndarray) -> np.ndarray:
+    """The published familiar-word formula: percentage of unfamiliar words and words per sentence, with its constant above 5 %."""
+    percent = 100 * unfamiliar
+    return 0.1579 * percent + 0.0496 * sentence_length + np.where(percent > 5, 3.6365, 0.0)
+
+
+COLLEGE = 9.0  # the formula's published grade for college students
+LEVELS = "doc_id long, lang string, n_words long, unfamiliar double, sentence_length double, formula double, score double, demanding boolean"
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Every document's estimate: doc_id, lang, n_words, unfamiliar, sentence_length, formula, score, demanding.
 
-    ``score`` is the probability that the text is of level 4 or 5, and
-    ``demanding`` whether it is at least a half. ``unfamiliar`` is the share of
-    words outside the list of words that a tenth of the language's documents
-    have. Texts without prose have null measures and are not demanding. Without
-    judgements of both kinds all scores are null. At most ``max_labelled``
-    judged documents, chosen by a hash of their id, are used for the fit.
+    ``unfamiliar`` is the share of words outside the list of words that a tenth
+    of the language's documents have, ``formula`` the plain formula over it and
+    the sentence length. ``score`` is the probability that the text is of level
+    4 or 5, by lists of several lengths weighted on the judged documents, and
+    ``demanding`` whether it is at least a half. Without labels, or without
+    judgements of both kinds, scores are null and the formula decides, from its
+    grade for college students on. Texts without prose have null measures and
+    are not demanding. At most ``max_labelled`` judged documents, chosen by a
+    hash of their id, are used for the fit; their measures (4 bytes each, so
+    12 MB in all) are what comes to the driver, with the lists of words.
     """
     spark = documents.sparkSession
     shares: dict[str, dict[str, float]] = {}
-    for row in familiar_words(documents).collect():
-        shares.setdefault(row["lang"], {})[row["word"]] = row["share"]
+    listed = familiar_words(documents).toArrow()
+    for lang, word, share in zip(*(listed.column(i).to_pylist() for i in range(3))):
+        shares.setdefault(lang, {})[word] = share
     shared = spark.sparkContext.broadcast(shares)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +293,16 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 x, langs = features([prose.sentences(t) for t in part.column(1).to_pylist()], known)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r if lang else None for r, lang in zip(x.tolist(), langs)], pa.list_(pa.float64()))], names=["level", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() if lang else None for r, lang in zip(x.astype(np.float32), langs)], pa.binary())], names=["level", "x"])
 
-    sample = judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.select("doc_id", "text").join(sample, "doc_id").select("level", "text")
     fitted = None
-    rows = [r for r in texts.mapInArrow(measured, "level double, x array<double>").collect() if r["x"] is not None]
-    if rows:
-        level = np.array([r["level"] for r in rows])
-        hard = (level >= DEMANDING - 0.5).astype(float)
+    if labels is not None:
+        sample = judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+        texts = documents.select("doc_id", "text").join(sample, "doc_id").select("level", "text")
+        rows = texts.mapInArrow(measured, "level double, x binary").filter("x IS NOT NULL").toArrow()
+        hard = (rows.column(0).to_numpy() >= DEMANDING - 0.5).astype(float)
         if 0 < hard.sum() < len(hard):
-            fitted = Model(np.array([r["x"] for r in rows]), hard)
+            fitted = Model(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(len(hard), -1).astype(float), hard)
     model = spark.sparkContext.broadcast(fitted)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,15 +316,16 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labelled: int =
                 none = np.array([lang is None for lang in langs])
                 n_words = np.array([sum(map(len, s)) for s in texts])
                 length = n_words / np.maximum([len(s) for s in texts], 1)
+                plain = plain_formula(x[:, tenth], length)
                 score = np.full(len(texts), np.nan)
                 if m is not None and not none.all():
                     score[~none] = m.score(x[~none])
                 unknown = none if m is not None else np.ones(len(texts), dtype=bool)
-                arrays = [part.column(0), pa.array(langs, pa.string()), pa.array(n_words, pa.int64()), pa.array(x[:, tenth], mask=none), pa.array(length, mask=none), pa.array(score, mask=unknown), pa.array(np.nan_to_num(score) >= 0.5)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "n_words", "unfamiliar", "sentence_length", "score", "demanding"])
+                demanding = np.nan_to_num(score) >= 0.5 if m is not None else np.nan_to_num(plain) >= COLLEGE
+                arrays = [part.column(0), pa.array(langs, pa.string()), pa.array(n_words, pa.int64()), pa.array(x[:, tenth], mask=none), pa.array(length, mask=none), pa.array(plain, mask=none), pa.array(score, mask=unknown), pa.array(demanding & ~none)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "n_words", "unfamiliar", "sentence_length", "formula", "score", "demanding"])
 
-    schema = "doc_id long, lang string, n_words long, unfamiliar double, sentence_length double, score double, demanding boolean"
-    return documents.select("doc_id", "text").mapInArrow(scored, schema)
+    return documents.select("doc_id", "text").mapInArrow(scored, LEVELS)
 
 
 def profile(levels: DataFrame, by: str = "lang") -> DataFrame:

@@ -67,7 +67,8 @@ def test_no_labels_one_kind_of_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 2, "a", None)], "doc_id long, level int, rater string, rated_at timestamp_ntz")
     for some in (labels, labels.limit(0)):
-        assert {(r["score"], r["demanding"]) for r in reading.reading_levels(docs, some).collect()} == {(None, False)}
+        got = reading.reading_levels(docs, some).collect()
+        assert all(r["score"] is None and r["demanding"] == (r["formula"] >= reading.COLLEGE) for r in got)
     assert reading.reading_levels(docs.limit(0), labels).count() == 0
 
 
@@ -80,3 +81,27 @@ def test_real_labels_are_met(spark, small):
     got = reading.reading_levels(docs, fit).select("doc_id", "demanding")
     both = reading.judged(held).join(got, "doc_id").collect()
     assert np.mean([(r["level"] >= 3.5) == r["demanding"] for r in both]) >= 0.93
+
+
+def test_the_plain_formula_needs_no_labels(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(200)] + [(9001, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in reading.reading_levels(docs).collect()}
+    for i in (0, 1, 7):
+        r = got[i]
+        assert r["score"] is None and abs(r["formula"] - (15.79 * r["unfamiliar"] + 0.0496 * r["sentence_length"] + (3.6365 if r["unfamiliar"] > 0.05 else 0))) < 1e-9
+        assert r["demanding"] == (r["formula"] >= reading.COLLEGE)
+    assert got[9001]["formula"] is None and got[9001]["demanding"] is False
+
+
+def test_other_scripts_are_measured_among_their_own():
+    p = reading.Prose()
+    assert p.sentences("Ο σκύλος τρέχει. Это дом!") == [["ο", "σκύλος", "τρέχει"], ["это", "дом"]]
+    assert p.sentences("我们读书。他走。") == [["我", "们", "读", "书"], ["他", "走"]]
+    for text, lang in (("ο σκύλος τρέχει", "script:greek"), ("это дом", "script:cyrillic"), ("我们读书。", "script:cjk"), ("xyz", "en"), ("der hund ist это", "de")):
+        assert reading.language(Counter(w for s in p.sentences(text) for w in s)) == lang
+
+
+def test_documents_of_other_scripts_have_measures(spark):
+    docs = spark.createDataFrame([(i, "Это дом. Это кот.") for i in range(5)] + [(9, "Непредсказуемость обусловленности предопределяется")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in reading.reading_levels(docs).collect()}
+    assert got[0]["lang"] == "script:cyrillic" and got[0]["unfamiliar"] == 0 and got[9]["demanding"] is not None and got[9]["n_words"] == 3
