@@ -148,19 +148,19 @@ def hierarchy(links: DataFrame) -> DataFrame:
         return keep(cut(placed.unionByName(left)))
 
 
-TOP_POWER = 12  # blocks of preorder numbers have at most 2 to this power
+TOP_POWER = 12  # blocks of preorder numbers have at most 2 to this power, an even number
 
 
 def _powers(n: Column) -> Column:
-    """0 up to how often a number can be halved before it is 0, or up to the highest power."""
-    return F.sequence(F.lit(0), F.least(F.length(F.bin(n)), F.lit(TOP_POWER)))
+    """0, 2, 4 and so on while 2 to that power is at most a number, or up to the highest power."""
+    return F.sequence(F.lit(0), F.least(F.length(F.bin(n)) - 1, F.lit(TOP_POWER)), F.lit(2))
 
 
 def range_pairs(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Pairs of a node and one of its descendants by their nested-set ranges: id, descendant, distance.
 
     ``wanted`` (column ``id``) limits the nodes whose descendants are asked for.
-    A range is taken apart into aligned blocks of powers of two, at most two of
+    A range is taken apart into aligned blocks of powers of four, at most six of
     each but the highest, and a node is in one block of each power. They meet
     on (root, power, block) by equality, so that only true pairs are formed,
     each once, and a group has at most 4,096 nodes however large the tree is.
@@ -169,13 +169,15 @@ def range_pairs(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     tops = own.filter("descendants > 0")
     if wanted is not None:
         tops = tops.join(wanted.select("id").distinct(), "id", "left_semi")
-    # of lo + 1 .. hi: at each power an odd first and an odd last block, and at the highest all that are left
-    t = tops.select("id", "root", F.col("depth").alias("top_depth"), (F.col("lo") + 1).alias("a"), (F.col("hi") + 1).alias("b"), F.explode(_powers(F.col("hi") + 1)).alias("power"))
+    # of lo + 1 .. hi: at each power the blocks that no block of the next power holds
+    t = tops.select("id", "root", F.col("depth").alias("top_depth"), (F.col("lo") + 1).alias("a"), (F.col("hi") + 1).alias("b"), F.explode(_powers(F.col("hi") - F.col("lo"))).alias("power"))
     t = t.withColumn("l", F.expr("shiftright(a + shiftleft(1L, power) - 1, power)")).withColumn("r", F.expr("shiftright(b, power)")).filter("l < r")
-    ends = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
-    blocks = F.when(F.col("power") == TOP_POWER, F.sequence("l", F.col("r") - 1)).otherwise(ends)
+    up, down = F.expr("shiftright(l + 3, 2) * 4"), F.expr("shiftright(r, 2) * 4")
+    run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = (F.col("power") == TOP_POWER) | (up >= down)
+    blocks = F.when(whole, F.sequence(F.col("l"), F.col("r") - 1)).otherwise(F.concat(run(F.col("l"), up), run(down, F.col("r"))))
     pieces = t.select("id", "root", "top_depth", "power", F.explode(blocks).alias("block"))
-    nodes = own.filter(F.col("parent").isNotNull()).select(F.col("id").alias("descendant"), "root", "depth", "lo", F.explode(_powers(F.col("tree_size") + 1)).alias("power"))
+    nodes = own.filter(F.col("parent").isNotNull()).select(F.col("id").alias("descendant"), "root", "depth", "lo", F.explode(_powers(F.col("tree_size"))).alias("power"))
     nodes = nodes.withColumn("block", F.expr("shiftright(lo, power)")).drop("lo")
     return pieces.join(nodes, ["root", "power", "block"]).select("id", "descendant", (F.col("depth") - F.col("top_depth")).alias("distance"))
 

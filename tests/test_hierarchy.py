@@ -92,7 +92,7 @@ def test_hierarchy_against_brute_force(spark, monkeypatch):
     assert len(rows(range_pairs(tree, want))) == 200 + sum(1 for q in paths.values() if q and "n0" in q[:-1])
     pairs = sorted((q[i], n, len(q) - 1 - i) for n, q in paths.items() if q for i in range(len(q) - 1))
     assert rows(ancestors(tree), "ancestor", "id", "distance") == pairs
-    for top in (12, 3, 0):
+    for top in (12, 4, 2, 0):
         monkeypatch.setattr(module, "TOP_POWER", top)
         assert rows(range_pairs(tree), "id", "descendant", "distance") == pairs
 
