@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
 # Words that a document search drops from a query.
-STOP_WORDS = tuple("a an and are as at be but by for from how i if in into is it its no not of on or our so such that the their then there these they this to was we were what when where which who why will with you your".split())
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
+)
 
 
 def words(text: Column) -> Column:

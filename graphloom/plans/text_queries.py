@@ -66,23 +66,77 @@ def doc_search_stopwords(spark, d):
     return found.select("key", F.round("score", 6).alias("score"), "matched", "all_terms")
 
 
-_SYMBOL = f"{NODES}, nm AS (SELECT id, name, qualname, {_PARTS} || ' ' || concat_ws(' ', name, qualname, path) AS text FROM n)"
+_DOCS = _TITLED.replace("SELECT doc_id,", "SELECT doc_id, repo AS path, source AS doc_type,")
 
 
-def _symbol_sql(asked: str) -> str:
+@query(
+    f"""WITH {_DOCS}, {_bm25(_DOC_INDEX, _ASKED_TERMS)} SELECT key, round(score, 6) AS score, matched, matched = {len(set(_ASKED_TERMS))} AS all_terms,
+substr(regexp_replace(substr(body, greatest(CASE WHEN strpos(lower(body), '{_ASKED_TERMS[0]}') > 0 THEN strpos(lower(body), '{_ASKED_TERMS[0]}') ELSE 0 END - 60, 1), 240), '\\s+', ' ', 'g'), 1, 240) AS excerpt
+FROM sc JOIN ti ON ti.doc_id = sc.key WHERE doc_type = 'runbook' AND (path = 'tidewater-index' OR starts_with(path, 'tidewater-index/'))"""
+)
+def doc_search_filtered(spark, d):
+    t = search.titled(table(spark, d, "documents"), "repo", "source")
+    docs = t.withColumnRenamed("repo", "path").withColumnRenamed("source", "doc_type")
+    found = search.search_documents(docs, _ASKED, doc_type="runbook", component=search.component_path(docs.select("path"), "tidewater-index/"))
+    shown = docs.select(F.col("doc_id").alias("key"), search.snippet(F.col("body"), _ASKED_TERMS[0]).alias("excerpt"))
+    return found.join(shown, "key").select("key", F.round("score", 6).alias("score"), "matched", "all_terms", "excerpt")
+
+
+_SYMBOL = f"{NODES}, nm AS (SELECT id, kind, language, name, qualname, path, line, concat_ws(' ', name, qualname, path) AS text FROM n)"
+
+
+def _symbol_sql(asked: str, where: str = "true") -> str:
     terms, low = search.query_terms(asked), asked.lower()
+    n, natural = len(set(terms)), " " in asked
+    base = f"CASE WHEN lower(name) = '{low}' OR lower(qualname) = '{low}' THEN 1000.0 WHEN starts_with(lower(name), '{low}') THEN 500.0 ELSE 0.0 END::DOUBLE"
+    named = f"starts_with(lower(name), '{low}') OR lower(qualname) = '{low}'"
+    hybrid = (
+        f"SELECT id, path, line, name, qualname, {base} + CASE WHEN matched = {n} AND {n} > 1 THEN 250.0 ELSE 0.0 END::DOUBLE + coalesce(rel, 0) AS score FROM bo"
+        if natural
+        else f"SELECT id, path, line, name, qualname, {base} + CASE WHEN matched = {n} THEN rel ELSE 0 END AS score FROM sx UNION ALL SELECT id, path, line, name, qualname, {base} + coalesce(rel, 0) FROM bo WHERE NOT EXISTS (SELECT 1 FROM sx)"
+    )
     return f"""WITH {EDGES.replace(NODES, _SYMBOL)}, {_bm25(f"SELECT id AS key, unnest({_words('text')}) AS term, 1.0::DOUBLE AS w FROM nm", terms)},
-r AS (SELECT nm.id, round(CASE WHEN lower(name) = '{low}' THEN 1000.0 WHEN starts_with(lower(name), '{low}') THEN 500.0 ELSE 0.0 END::DOUBLE + CASE WHEN matched = {len(set(terms))} THEN 250.0 ELSE 0.0 END::DOUBLE + score, 6) AS score,
-  CASE WHEN lower(name) = '{low}' THEN 'exact_name' WHEN starts_with(lower(name), '{low}') THEN 'name_prefix' WHEN lower(qualname) = '{low}' THEN 'exact_qualified_name' WHEN contains(lower(name), '{low}') THEN 'name_fragment' ELSE 'indexed_text' END AS reason FROM sc JOIN nm ON nm.id = sc.key),
-b AS (SELECT * FROM r ORDER BY score DESC, id LIMIT 50),
-t AS (SELECT DISTINCT unnest([src, dst]) AS id FROM e WHERE src <> dst AND src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b))
-SELECT id, score, reason, id IN (SELECT id FROM t) AS boosted FROM b"""
+ow AS (SELECT * FROM nm WHERE language <> 'markdown' AND {where}),
+ex AS (SELECT id, path, line, name, qualname, CASE WHEN lower(name) = '{low}' THEN 0.0 ELSE -2.0 END::DOUBLE AS score FROM ow WHERE lower(name) = '{low}' OR lower(qualname) = '{low}'),
+bo AS (SELECT ow.*, sc.score AS rel, sc.matched FROM ow LEFT JOIN sc ON sc.key = ow.id WHERE sc.matched IS NOT NULL OR {named}),
+sx AS (SELECT * FROM bo WHERE coalesce(matched = {n}, false) OR {named}),
+hy AS ({hybrid}),
+fo AS (SELECT id, path, line, name, qualname, round(score, 6) AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM hy WHERE NOT EXISTS (SELECT 1 FROM ex))),
+wi AS (SELECT id FROM fo ORDER BY score DESC, path, line, id LIMIT 50)
+SELECT id, score, CASE WHEN id IN (SELECT id FROM wi) AND id IN (SELECT dst FROM e WHERE kind NOT IN ('contains', 'documents', 'references_doc')) THEN 50 ELSE 0 END AS boost, id IN (SELECT id FROM wi) AS in_window,
+  CASE WHEN lower(name) = '{low}' THEN 'exact_name' WHEN lower(qualname) = '{low}' THEN 'exact_qualified_name' WHEN starts_with(lower(name), '{low}') THEN 'name_prefix' WHEN contains(lower(name), '{low}') THEN 'name_fragment' ELSE 'indexed_text' END AS reason FROM fo"""
+
+
+def _search(spark, d, asked, **scope):
+    g = graph.load(spark, d)
+    return search.search_symbols(g.nodes, g.triples, asked, **scope)
 
 
 @query(_symbol_sql("load_bucket"))
+def symbol_exact_first(spark, d):
+    """The name exists, so that only symbols named so are the answer."""
+    return _search(spark, d, "LOAD_bucket")
+
+
+@query(_symbol_sql("load bucket page"))
 def symbol_hybrid(spark, d):
-    g = graph.load(spark, d)
-    return search.search_symbols(g.nodes, g.edges, "load_bucket")
+    return _search(spark, d, "load bucket page")
+
+
+@query(_symbol_sql("load_zebra_crossing"))
+def symbol_fallback(spark, d):
+    """No symbol has all the terms, so that those with any are given."""
+    return _search(spark, d, "load_zebra_crossing")
+
+
+@query(_symbol_sql("load", "kind IN ('function', 'method') AND (path = 'tidewater-index' OR starts_with(path, 'tidewater-index/'))"))
+def symbol_scoped(spark, d):
+    return _search(spark, d, "load", kind="method", path="tidewater-index")
+
+
+@query(f"WITH {_SYMBOL} SELECT id, CASE WHEN starts_with(lower(name), 'load') THEN 500.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN starts_with(lower(name), 'load') THEN 'name_pattern' ELSE 'qualified_pattern' END AS reason FROM nm WHERE (starts_with(lower(name), 'load') OR starts_with(lower(qualname), 'load') OR contains(lower(qualname), '::load') OR contains(lower(qualname), '.load')) AND len(list_filter({_words('text')}, lambda x: starts_with(x, 'load'))) > 0")
+def symbol_name_prefix(spark, d):
+    return search.prefix_symbols(_nodes(spark, d), "load")
 
 
 @query(f"WITH {NODES} SELECT id, CASE WHEN lower(name) = 'load_bucket' THEN 0 ELSE 2 END AS rank FROM n WHERE lower(name) = 'load_bucket' OR lower(qualname) = 'load_bucket'")

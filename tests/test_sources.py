@@ -2,6 +2,7 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_parts, route, slug
 from graphloom.operators import search
@@ -90,8 +91,68 @@ def test_bm25_order_and_empty_query(spark):
 
 def test_declared_types(spark):
     data = [("a", '{"signature": "fn a(x: u8) -> Vec<T> where T: C", "return_type": "Vec<T>", "param_types": {"x": "u8"}}'), ("b", "{broken"), ("c", None), ("d", '{"param_types": {"y": "Big_Type"}}')]
-    df = spark.createDataFrame(data, "id string, details string")
-    assert rows(search.declared_types(df)) == [("a", "Vec<T>")]
+    data += [("e", '{"signature": "def e(cb: Callable[[int], (str)] = (lambda x: x)) -> dict[str, int]:"}'), ("f", '{"signature": "f(cb: (x) => y): Promise<Z>"}'), ("g", '{"signature": "no parameters -> x"}')]
+    df = spark.createDataFrame(data, "id string, details string").withColumn("language", F.lit("typescript"))
+    assert rows(search.declared_types(df)) == [("a", "Vec<T>"), ("e", "dict[str, int]"), ("f", "Promise<Z>")]
+    assert rows(search.declared_types(df.withColumn("language", F.lit("rust")))) == [("a", "Vec<T>"), ("e", "dict[str, int]")]
     assert rows(search.taking_or_returning(df, returns="vec*")) == [("a",)]
     assert rows(search.taking_or_returning(df, takes="big_type")) == [("d",)]
     assert rows(search.taking_or_returning(df, returns="*", takes="u8")) == [("a",)]
+
+
+SYMBOLS = "id string, kind string, name string, qualname string, path string, line long, language string, details string"
+
+
+def symbols(spark):
+    d = '{"param_types": {"x": "Order"}, "return_type": "Bill Order", "doc": "charges a customer", "decorators": ["cached"]}'
+    data = [("1", "function", "process", "m.process", "m/a.py", 1, "python", d), ("2", "class", "Order", "m.Order", "m/a.py", 9, "python", None), ("3", "method", "process_work", "m.W.process_work", "m/b.py", 2, "python", "{broken"), ("4", "document", "process", "process", "m/doc.md", 1, "markdown", None), ("5", "module", "b.py", "m/b.py", "m/b.py", 1, "python", '{"references": ["charge.customer"]}'), ("6", None, None, None, None, None, None, None)]
+    return spark.createDataFrame(data, SYMBOLS)
+
+
+def found(spark, asked, **scope):
+    keys = spark.createDataFrame([("3", "calls", "1"), ("5", "contains", "3")], "src string, kind string, dst string")
+    got = search.search_symbols(symbols(spark), keys, asked, **scope).join(symbols(spark).select("id", "path", "line"), "id")
+    return [(r["id"], r["reason"], r["boost"]) for r in got.orderBy(*[F.expr(x.removesuffix(" DESC")).desc() if x.endswith("DESC") else F.expr(x) for x in search.SYMBOL_ORDER]).collect()]
+
+
+def test_symbol_search_takes_exact_names_first(spark):
+    assert found(spark, "PROCESS") == [("1", "exact_name", 50)]
+    assert [x[0] for x in found(spark, "process", include_docs=True)] == ["1", "4"]
+    assert found(spark, "m.W.process_work") == [("3", "exact_qualified_name", 0)]
+
+
+def test_a_type_that_symbols_take_is_no_exact_name_only(spark):
+    assert {x[0] for x in found(spark, "order")} == {"1", "2"}
+
+
+def test_symbol_search_by_all_terms_any_term_and_indexed_text(spark):
+    assert [x[0] for x in found(spark, "proc")] == ["1", "3"]
+    assert found(spark, "charges_customer") == [("1", "indexed_text", 50)]
+    assert [x[0] for x in found(spark, "charges_zebra")] == ["1"]
+    assert {x[0] for x in found(spark, "customer work")} == {"1", "3", "5"}
+    assert found(spark, "zebra") == []
+    with pytest.raises(ValueError):
+        found(spark, "??")
+
+
+def test_symbol_search_within_kind_and_path(spark):
+    assert [x[0] for x in found(spark, "work process", kind="function")] == ["3", "1"]
+    assert [x[0] for x in found(spark, "work process", path="m/b.py")] == ["3"]
+    assert [x[0] for x in found(spark, "cached")] == ["1"]
+
+
+def test_component_paths(spark):
+    paths = spark.createDataFrame([("r/app/docs/x.md",), ("z/app/y.md",)], "path string")
+    assert search.component_path(paths, "r/app/") == "r/app"
+    assert search.component_path(paths, "app") == "r/app"
+    assert search.component_path(paths, "short", {"short": "Team"}, {"r/team/": "team"}) == "r/team"
+    assert search.component_path(paths, "unknown") == "unknown"
+
+
+def test_document_search_filters(spark):
+    data = [(1, "graph", "x", "guide", "r/a.md"), (2, "", "graph", "contract", "r/b.md"), (3, "", "graph", "guide", "r/Archive/c.md"), (4, "", "graph the", None, None)] + [(k, "", "other", "guide", "r/x.md") for k in range(5, 12)]
+    docs = spark.createDataFrame(data, "doc_id long, title string, body string, doc_type string, path string")
+    assert {r["key"] for r in search.search_documents(docs, "graph").collect()} == {1, 2}
+    assert {r["key"] for r in search.search_documents(docs, "graph", doc_type="guide", component="r").collect()} == {1}
+    assert {r["key"] for r in search.search_documents(docs, "graph", component="r/archive").collect()} == set()
+    assert search.search_documents(docs, "the of and").count() == 0
