@@ -2,14 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import SMALL, cut, drop, scratch, small
 
+LAST_EDGES = SMALL  # edges that one task finishes; rounds over so few cost more than the search
 HOPS = 3  # steps that a round takes at once while its frontier is small
 
 
+def _one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of more than one node, by depth-first search with an explicit stack."""
+    out: dict[str, list[str]] = {}
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"]):
+            out.setdefault(a, []).append(b)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    held: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for start in out:
+        if start in order:
+            continue
+        work = [(start, 0)]
+        while work:
+            node, at = work.pop()
+            if at == 0:
+                order[node] = low[node] = len(order)
+                open_.append(node)
+                held.add(node)
+            targets = out.get(node, ())
+            descended = False
+            while at < len(targets):
+                t = targets[at]
+                at += 1
+                if t not in order:
+                    work += [(node, at), (t, 0)]
+                    descended = True
+                    break
+                if t in held:
+                    low[node] = min(low[node], order[t])
+            if descended:
+                continue
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[node])
+            if low[node] == order[node]:
+                part = []
+                while True:
+                    t = open_.pop()
+                    held.discard(t)
+                    part.append(t)
+                    if t == node:
+                        break
+                if len(part) > 1:
+                    name = min(part, key=str.encode)
+                    rows += [(t, name) for t in part]
+    yield pd.DataFrame(rows, columns=["id", "label"])
+
+
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The greatest label (id, label) that reaches each id along the edges (a, b), its own included; labels are ids.
 
@@ -53,7 +107,7 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         parts.append(front)
 
 
-def strong_components(links: DataFrame) -> DataFrame:
+def strong_components(links: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     """Nodes that lie on a circle, with their component: id, component, in_circle; a written table.
 
     ``links`` has src and dst; rows with a null end are ignored and repeats
@@ -62,7 +116,8 @@ def strong_components(links: DataFrame) -> DataFrame:
     are processed first, over and over; only what is left is searched. There
     every node takes the greatest id that reaches it as its colour, and in each
     colour class what reaches the node that gave the colour is a component;
-    what remains of the classes is searched again.
+    what remains of the classes is searched again. When no more than
+    ``last_edges`` edges are left, some ten megabytes, one task finishes them.
     """
     with scratch(links.sparkSession) as keep:
         edges = cut(links.select(F.col("src").alias("a"), F.col("dst").alias("b")).dropna().distinct())
@@ -70,13 +125,15 @@ def strong_components(links: DataFrame) -> DataFrame:
         edges = cut(edges.filter(F.col("a") != F.col("b")))
         found = []
         while True:
-            while edges.n_rows:
+            while edges.n_rows > last_edges:
                 kept = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
                 kept = cut(kept.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
                 if kept.n_rows == edges.n_rows:
                     break
                 edges = kept
-            if not edges.n_rows:
+            if edges.n_rows <= last_edges:
+                if edges.n_rows:
+                    found.append(cut(edges.coalesce(1).mapInPandas(_one_task, "id string, label string")))
                 break
             ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
             colours = _spread(edges, cut(ids.withColumn("label", F.col("id"))))

@@ -63,7 +63,8 @@ def test_components_of_a_random_graph(spark):
     pairs = [(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(38)] + [("x", "x"), (None, "n1"), ("n1", None)]
     df = spark.createDataFrame(pairs, "src string, dst string")
     want = brute_components([p for p in pairs if None not in p])
-    assert rows(strong_components(df), "component", "id") == want
+    for last in (0, 3, 10**6):
+        assert rows(strong_components(df, last), "component", "id") == want
 
 
 def test_hierarchy_against_brute_force(spark, monkeypatch):
