@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Accented letters of Latin scripts and what they fold to.
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
@@ -62,3 +64,22 @@ def glob_pattern(glob: str) -> str:
 def extension(path: Column) -> Column:
     """Ending of a file name in lower case, '' without one."""
     return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), "\\.([^.]+)$", 1))
+
+
+def fnv1a(text: Column) -> Column:
+    """64-bit FNV-1a of a text's UTF-8 bytes as a signed number; null for null."""
+    return _fnv1a(text)
+
+
+@F.pandas_udf(LongType())
+def _fnv1a(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        if t is None:
+            out.append(None)
+            continue
+        h = 0xCBF29CE484222325
+        for b in t.encode():
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return pd.Series(out, dtype="Int64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.paths import within
 from graphloom.operators.components import strong_components
 from graphloom.operators.graph import Graph, is_public
 
@@ -61,10 +62,36 @@ def exports(g: Graph) -> DataFrame:
 def examples(g: Graph, top: int = 5) -> DataFrame:
     """Per pair of modules the edges across and the first ``top`` examples in order: source, target, n_edges, examples."""
     e = _module_edges(g).filter("source <> target")
-    w = Window.partitionBy("source", "target").orderBy("dst", "src", "kind")
-    r = e.withColumn("rank", F.row_number().over(w))
-    shown = F.when(F.col("rank") <= top, F.struct("rank", F.concat_ws(" ", "src", "kind", "dst").alias("text")))
-    return r.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["text"]), "; ").alias("examples"))
+    return _counted_examples(e, ["source", "target"], ["dst", "src", "kind"], top)
+
+
+def _counted_examples(e: DataFrame, group: list[str], order: list[str], top: int) -> DataFrame:
+    """Number of edges of each group and the first ``top`` as text; the limit reaches the window, so no group is sorted whole."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    first = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    lists = first.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "src", "kind", "dst").alias("text")))), lambda x: x["text"]), "; ").alias("examples"))
+    return e.groupBy(*group).agg(F.count(F.lit(1)).alias("n_edges")).join(lists, group)
+
+
+def contract(g: Graph, path: str, top: int = 5) -> DataFrame:
+    """The boundary of a directory: direction (inbound or outbound), module (the folder at the other end), n_edges, examples.
+
+    Edges with one end at or below the path and the other outside count; ends
+    that are no nodes do not.
+    """
+    ends = g.nodes.select("id", within(F.col("path"), path).alias("inside"), parent_of(F.col("path")).alias("folder"))
+    a = ends.select(F.col("id").alias("src"), F.col("inside").alias("src_in"), F.col("folder").alias("src_folder"))
+    b = ends.select(F.col("id").alias("dst"), F.col("inside").alias("dst_in"), F.col("folder").alias("dst_folder"))
+    across = g.keys.join(a, "src").join(b, "dst").filter(F.col("src_in") != F.col("dst_in"))
+    e = across.select(F.when(F.col("src_in"), "outbound").otherwise("inbound").alias("direction"), F.when(F.col("src_in"), F.col("dst_folder")).otherwise(F.col("src_folder")).alias("module"), "src", "kind", "dst")
+    outside, inside = F.when(F.col("direction") == "outbound", F.col("dst")).otherwise(F.col("src")), F.when(F.col("direction") == "outbound", F.col("src")).otherwise(F.col("dst"))
+    return _counted_examples(e.withColumn("o", outside).withColumn("i", inside), ["direction", "module"], ["o", "i", "kind"], top)
+
+
+def members(g: Graph, path: str) -> DataFrame:
+    """The nodes at or below a directory, modules and files first: first (0 for these, else 1), id, kind, path, line."""
+    first = F.when(F.col("kind").isin("module", "file"), 0).otherwise(1)
+    return g.nodes.filter(within(F.col("path"), path)).select(first.alias("first"), "id", "kind", "path", "line")
 
 
 def directories(g: Graph) -> DataFrame:

@@ -46,6 +46,17 @@ def graph_leaves(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     return n.unionByName(leaves("occurrences", occurrences, "owner_path", ["ordinal", "src", "kind", "dst", "line", "evidence", "confidence"]))
 
 
+def posting_leaves(texts: DataFrame, owner: str, columns: list[str]) -> DataFrame:
+    """Leaves of a full-text index over text columns, by owner: each term with its column and place is a row."""
+    from graphloom.functions.text import words
+
+    parts = [texts.select(F.col(owner).alias("owner"), F.lit(c).alias("column"), F.posexplode(words(F.coalesce(F.col(c), F.lit("")))).alias("place", "term")) for c in columns]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return leaves("postings", rows.withColumn("owner", F.col("owner").cast("string")), "owner", ["column", "term", "place"])
+
+
 def verify(stored: DataFrame, now: DataFrame) -> DataFrame:
     """Owners whose digest is missing, unexpected or different: domain, owner, problem."""
     a, b = stored.select("domain", "owner", F.col("digest").alias("was")), now.select("domain", "owner", F.col("digest").alias("is_now"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_parts, words
 from graphloom.operators import components
-from graphloom.operators.graph import CALLABLE, DATA_FLOW, FORWARD, REVERSE, STRUCTURAL, SUBTYPING, TYPE_KINDS, Graph, detail, is_public
+from graphloom.operators.graph import CALLABLE, DATA_FLOW, FORWARD, REVERSE, STRUCTURAL, SUBTYPING, TEST_REACH, TYPE_KINDS, Graph, detail, is_public
+from graphloom.operators.routes import scope_overlaps
 from graphloom.session import cut, drop, small
 
 
@@ -227,6 +228,27 @@ def covering_tests(g: Graph, kinds: tuple[str, ...]) -> DataFrame:
     return one.unionByName(two).groupBy("id", "test").agg(F.min("hops").alias("hops"))
 
 
+def seams(g: Graph, targets: DataFrame, hops: int = 8) -> DataFrame:
+    """Targets (column ``id``) that a test reaches within some hops over the kinds of test reach: id, distance, via, via_kind."""
+    step = steps(g.triples.filter(F.col("kind").isin(*TEST_REACH)), False, mode="all").distinct()
+    found = reach(cut(step), g.nodes.filter("is_test").select("id"), hops)
+    return found.join(targets.select("id").distinct(), "id", "left_semi")
+
+
+def change_impact(g: Graph, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """What depends on changed symbols (column ``id``), tests marked: id, distance, via, via_kind, is_seed, is_test."""
+    found = impact(g, changed, depth, inbound=True)
+    return found.join(g.nodes.select("id", F.coalesce("is_test", F.lit(False)).alias("is_test")), "id")
+
+
+def wave_clashes(placed: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Tasks of one wave whose scopes overlap: wave, a, b. ``placed`` is what :func:`waves` gives, ``scopes`` has owner and scope."""
+    w = placed.filter("wave IS NOT NULL")
+    pairs = scope_overlaps(scopes)
+    j = pairs.join(w.select(F.col("id").alias("a"), "wave"), "a").join(w.select(F.col("id").alias("b"), F.col("wave").alias("other")), "b")
+    return j.filter("wave = other").select("wave", "a", "b")
+
+
 def waves(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """Level of each task in its dependency graph: id, wave (0 without dependencies, else one more than its latest).
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import within
-from graphloom.operators.graph import ENTRY_WIRING, REVERSE, Graph, detail
-from graphloom.operators.traversal import callable_nodes
+from graphloom.operators.graph import CALLABLE, ENTRY_WIRING, REVERSE, TEST_REACH, TYPE_KINDS, Graph, detail, is_public
+from graphloom.operators.traversal import callable_nodes, covering_tests
 
 
 def untested(g: Graph, scope: str = "") -> DataFrame:
@@ -24,11 +24,27 @@ def unwired(g: Graph) -> DataFrame:
     return callable_nodes(g).filter(detail("entrypoint").isNull()).join(called, "id", "left_anti").select("id", "name", "path")
 
 
+# Categories of entrypoints by rank, and the registrations that give them.
+CATEGORIES = ("test", "main", "http_route", "mcp_tool", "cli_command", "event_handler")
+REGISTRATIONS = {"main_registration": 1, "route": 2, "tool_registration": 3, "cli_command_registration": 4, "event_handler_registration": 5}
+
+
 def entry_ranks(g: Graph) -> DataFrame:
-    """Rank of each entrypoint, the least of its own and those of exact wiring edges: id, rank (1 own detail, 2 wired)."""
-    own = g.nodes.filter(detail("entrypoint").isNotNull()).select("id", F.lit(1).alias("rank"))
-    wired = g.edges.filter(F.col("kind").isin(*ENTRY_WIRING) & (F.col("confidence") == "exact")).join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.lit(2).alias("rank"))
-    return own.unionByName(wired).groupBy("id").agg(F.min("rank").alias("rank"))
+    """Rank of each entrypoint, the least of its own category and those of exact wiring edges: id, rank, category.
+
+    Routes give http_route, dispatching and listening event_handler, handling
+    what the kind of the registration says.
+    """
+    own = detail("entrypoint")
+    rank = F.create_map(*[x for i, c in enumerate(CATEGORIES) for x in (F.lit(c), F.lit(i))])
+    mine = g.nodes.select("id", F.try_element_at(rank, own).alias("rank"))
+    kinds = F.create_map(*[x for k, i in REGISTRATIONS.items() for x in (F.lit(k), F.lit(i))])
+    e = g.edges.filter(F.col("kind").isin(*ENTRY_WIRING) & (F.col("confidence") == "exact")).select("src", "kind", "dst")
+    by_src = e.join(g.nodes.select(F.col("id").alias("src"), F.col("kind").alias("src_kind")), "src", "left")
+    wired = F.when(F.col("kind") == "routes_to", 2).when(F.col("kind").isin("dispatches", "listens_to"), 5).otherwise(F.try_element_at(kinds, F.col("src_kind")))
+    both = mine.unionByName(by_src.select(F.col("dst").alias("id"), wired.alias("rank")).join(g.nodes.select("id"), "id", "left_semi")).filter("rank IS NOT NULL")
+    best = both.groupBy("id").agg(F.min("rank").alias("rank"))
+    return best.withColumn("category", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("rank") + 1))
 
 
 def removal(g: Graph, scopes: DataFrame) -> DataFrame:
@@ -73,6 +89,58 @@ def related_documents(g: Graph) -> DataFrame:
     return d.unionByName(b).distinct()
 
 
+def symbol_documents(g: Graph, top: int = 30) -> DataFrame:
+    """Documents of each node, invariants first, then by path and id: id, document, is_invariant, place (from 1, up to ``top``)."""
+    docs = g.nodes.select(F.col("id").alias("document"), (F.col("kind") == "invariant").alias("is_invariant"), "path")
+    j = related_documents(g).join(docs, "document")
+    w = Window.partitionBy("id").orderBy(F.desc("is_invariant"), "path", "document")
+    return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("id", "document", "is_invariant", "place")
+
+
+def document_symbols(g: Graph) -> DataFrame:
+    """Symbols that documents are about: document, id, name, kind, path, line, citation_line."""
+    e = g.edges.filter("kind = 'documents'").select(F.col("src").alias("document"), F.col("dst").alias("id"), F.col("line").alias("citation_line"))
+    return e.join(g.nodes.select("id", "name", "kind", "path", "line"), "id").select("document", "id", "name", "kind", "path", "line", "citation_line")
+
+
+def citations(g: Graph, cites: str = "cites_doc") -> DataFrame:
+    """Documents that documents cite, both ways: document, direction (cites or cited_by), other, path, line."""
+    e = g.edges.filter(F.col("kind") == cites)
+    out = e.select(F.col("src").alias("document"), F.lit("cites").alias("direction"), F.col("dst").alias("other"), "line")
+    back = e.select(F.col("dst").alias("document"), F.lit("cited_by").alias("direction"), F.col("src").alias("other"), "line")
+    return out.unionByName(back).join(g.nodes.select(F.col("id").alias("other"), "path"), "other").select("document", "direction", "other", "path", "line")
+
+
+def scope_documents(g: Graph, scope: str, kinds: tuple[str, ...] = ("document", "invariant")) -> DataFrame:
+    """All sections in the files of documents that govern or describe a scope: id, path, line, is_direct (itself such a document)."""
+    inside = g.nodes.filter(within(F.col("path"), scope)).select("id")
+    direct = related_documents(g).join(inside, "id", "left_semi").select(F.col("document").alias("id")).distinct()
+    paths = g.nodes.join(direct, "id", "left_semi").select("path").distinct()
+    s = g.nodes.filter(F.col("kind").isin(*kinds)).join(paths, "path", "left_semi").select("id", "path", "line")
+    return s.join(direct.withColumn("is_direct", F.lit(True)), "id", "left").select("id", "path", "line", F.coalesce("is_direct", F.lit(False)).alias("is_direct"))
+
+
+def public_symbols(g: Graph, scope: str, top: int = 15) -> DataFrame:
+    """The first public types and functions of a scope, tests aside, by path and line: id, kind, path, line."""
+    kept = g.nodes.filter(is_public() & ~F.coalesce("is_test", F.lit(False)) & F.col("kind").isin(*CALLABLE, *TYPE_KINDS) & within(F.col("path"), scope))
+    return kept.select("id", "kind", "path", "line").orderBy("path", "line", "id").limit(top)
+
+
+def unwired_summary(g: Graph) -> DataFrame:
+    """How many functions and methods nothing calls, and how many of these are entrypoints: n_unwired, n_entrypoints."""
+    called = g.triples.filter("kind = 'calls'").select(F.col("dst").alias("id")).distinct()
+    own = callable_nodes(g).join(called, "id", "left_anti")
+    return own.agg(F.count_if(detail("entrypoint").isNull()).alias("n_unwired"), F.count_if(detail("entrypoint").isNotNull()).alias("n_entrypoints"))
+
+
+def pulse(g: Graph, ids: DataFrame) -> DataFrame:
+    """What surrounds the given nodes: id, n_callers, n_implementations, n_tests (reaching it in one or two steps)."""
+    wanted = ids.select("id").distinct()
+    into = g.keys.select(F.col("dst").alias("id"), "kind").join(wanted, "id", "left_semi").groupBy("id").agg(F.count_if(F.col("kind") == "calls").alias("n_callers"), F.count_if(F.col("kind").isin("inherits", "implements", "extends")).alias("n_implementations"))
+    tests = covering_tests(g, TEST_REACH).join(wanted, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_tests"))
+    return wanted.join(into, "id", "left").join(tests, "id", "left").na.fill(0, ["n_callers", "n_implementations", "n_tests"])
+
+
 def explain(g: Graph, ids: DataFrame) -> DataFrame:
     """All edges at the given nodes: id, direction, kind, other, occurrence_count, confidence."""
     wanted = ids.select("id").distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph_queries, text_queries, training_data
+from graphloom.plans import graph_queries, record_queries, text_queries, training_data
 
-MODULES = [training_data, graph_queries, text_queries]
+MODULES = [training_data, graph_queries, text_queries, record_queries]
 
 
 def queries() -> dict:

@@ -129,9 +129,9 @@ def symbol_fallback(spark, d):
     return _search(spark, d, "load_zebra_crossing")
 
 
-@query(_symbol_sql("load", "kind IN ('function', 'method') AND (path = 'tidewater-index' OR starts_with(path, 'tidewater-index/'))"))
+@query(_symbol_sql("tidewater bucket", "kind IN ('function', 'method') AND (path = 'tidewater-index' OR starts_with(path, 'tidewater-index/'))"))
 def symbol_scoped(spark, d):
-    return _search(spark, d, "load", kind="method", path="tidewater-index")
+    return _search(spark, d, "tidewater bucket", kind="method", path="tidewater-index")
 
 
 @query(f"WITH {_SYMBOL} SELECT id, CASE WHEN starts_with(lower(name), 'load') THEN 500.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN starts_with(lower(name), 'load') THEN 'name_pattern' ELSE 'qualified_pattern' END AS reason FROM nm WHERE (starts_with(lower(name), 'load') OR starts_with(lower(qualname), 'load') OR contains(lower(qualname), '::load') OR contains(lower(qualname), '.load')) AND len(list_filter({_words('text')}, lambda x: starts_with(x, 'load'))) > 0")
