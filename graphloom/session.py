@@ -51,6 +51,12 @@ def delete(sc, at: str) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    """Whether a path is there on any file system that Spark can reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _quietly(sc, at: str) -> None:
     try:
         delete(sc, at)

@@ -118,6 +118,21 @@ def sql_uses(content: str) -> list[tuple[str, str, int]]:
     return out
 
 
+_LITERAL = re.compile(r"""//[^\n]*|\"{3}(.*?)\"{3}|'{3}(.*?)'{3}|`([^`]*)`|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""", re.S)
+_STATEMENT = re.compile(r"\s*(?:SELECT\b.*\bFROM\b|WITH\b.*\bAS\s*\(|INSERT\s+INTO\b|UPDATE\b.*\bSET\b|DELETE\s+FROM\b|CREATE\s+(?:TABLE|VIEW)\b)", re.I | re.S)
+
+
+def embedded_sql(content: str) -> list[tuple[str, str, int]]:
+    """Tables used by SQL statements in string literals of code: (use, table, line of the code)."""
+    out = []
+    for m in _LITERAL.finditer(content):
+        group = m.lastindex
+        if group and _STATEMENT.match(m[group]):
+            first = content.count("\n", 0, m.start(group))
+            out += [(use, name, first + line) for use, name, line in sql_uses(m[group])]
+    return out
+
+
 # -- manifests
 
 
@@ -139,6 +154,9 @@ def manifest(path: str, content: str) -> dict | None:
             t = json.loads(content)
             w = t.get("workspaces", [])
             return _component(t.get("name"), t.get("version"), w.get("packages", []) if isinstance(w, dict) else w, [*t.get("dependencies", {}), *t.get("devDependencies", {})])
+        if base == "pnpm-workspace.yaml":
+            block = re.search(r"(?m)^packages:[ \t]*\n((?:[ \t]*-.*\n?|[ \t]*\n)*)", content)
+            return _component(None, None, [x.strip("'\"") for x in re.findall(r"(?m)^[ \t]*-[ \t]*(\S+)", block[1])] if block else [], [])
         if base == "go.mod":
             name = re.search(r"(?m)^module\s+(\S+)", content)
             deps = re.findall(r"(?m)^(?:require\s+|\t)([\w./-]+\.[\w./-]+)\s+v\S+", content)
@@ -266,10 +284,15 @@ def extract_sql(texts: DataFrame) -> DataFrame:
     return _per_file(texts, "\\.sql$", [("path", "string"), ("use", "string"), ("name", "string"), ("line", "long")], lambda p, c: [{"path": p, "use": u, "name": t, "line": n} for u, t, n in sql_uses(c)])
 
 
+def extract_embedded_sql(texts: DataFrame) -> DataFrame:
+    """Table uses of SQL in string literals of code: path, use, name, line."""
+    return _per_file(texts, "\\.(?:py|rs|ts|js|go)$", [("path", "string"), ("use", "string"), ("name", "string"), ("line", "long")], lambda p, c: [{"path": p, "use": u, "name": t, "line": n} for u, t, n in embedded_sql(c)])
+
+
 def extract_manifests(texts: DataFrame) -> DataFrame:
     """Components that manifests declare: path, name, version, members, dependencies."""
     fields = [("path", "string"), ("name", "string"), ("version", "string"), ("members", "strings"), ("dependencies", "strings")]
-    return _per_file(texts, "(?:^|/)(?:Cargo\\.toml|pyproject\\.toml|package\\.json|go\\.mod)$", fields, lambda p, c: [{"path": p, **m}] if (m := manifest(p, c)) else [])
+    return _per_file(texts, "(?:^|/)(?:Cargo\\.toml|pyproject\\.toml|package\\.json|pnpm-workspace\\.yaml|go\\.mod)$", fields, lambda p, c: [{"path": p, **m}] if (m := manifest(p, c)) else [])
 
 
 def search_structure(texts: DataFrame, pattern: str, names: DataFrame | None = None) -> DataFrame:

@@ -80,6 +80,23 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return documents.select(F.col(key).cast("long" if key_type == pa.int64() else "string"), text).mapInArrow(run, f"{key} {'long' if key_type == pa.int64() else 'string'}, {SECTIONS}")
 
 
+def typed_documents(documents: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """Documents with what their front matter says: key, doc_type (by place without one), title, status."""
+    schema = f"{key} string, doc_type string, title string, status string"
+    out = pa.schema([(key, pa.string()), ("doc_type", pa.string()), ("title", pa.string()), ("status", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                head, _ = front_matter((t or "").replace("\r\n", "\n").replace("\r", "\n"))
+                rows.append({key: k, "doc_type": head.get("doc_type"), "title": head.get("title"), "status": head.get("status")})
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    found = documents.select(F.col(key).cast("string").alias(key), text).mapInArrow(run, schema)
+    return found.withColumn("doc_type", F.coalesce("doc_type", default_type(F.col(key))))
+
+
 def default_type(path: Column) -> Column:
     """Document type by place: contract below docs/milestones or docs/contracts, else guide."""
     return F.when(path.rlike("(?:^|/)docs/(?:milestones|contracts)/"), "contract").otherwise("guide")
@@ -104,22 +121,35 @@ def resolved(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(F.regexp_replace(path, "/+", "/"), "/"), F.array().cast("array<string>"), step), "/")
 
 
-def broken_links(section: DataFrame, paths: DataFrame, key: str = "path") -> DataFrame:
-    """Relative links whose target file is not among ``paths``, or whose anchor is not in it: key, link, problem.
+LINES = "^L([0-9]+)(?:C[0-9]+)?(?:-L?([0-9]+))?$"
+
+
+def broken_links(section: DataFrame, paths: DataFrame, key: str = "path", n_lines: DataFrame | None = None) -> DataFrame:
+    """Relative links whose target file is not among ``paths``, whose anchor is not in it, or whose lines it does not have: key, link, problem.
 
-    Links to other sites and within mail are not looked at.
+    Links are percent-decoded; those to other sites and within mail are not
+    looked at. Line anchors (L3, L3-L9) are checked where ``n_lines`` (path,
+    n_lines) knows the file.
     """
     link = section.select(key, F.explode("links").alias("link")).filter(~F.col("link").rlike("^(?:[a-z][a-z0-9+.-]*:|//)"))
-    target = F.regexp_replace(F.substring_index("link", "#", 1), "^\\./", "")
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace("link", "\\+", "%2B")), F.col("link"))
+    target = F.regexp_replace(F.substring_index(plain, "#", 1), "^\\./", "")
     folder = F.regexp_replace(F.col(key), "[^/]*$", "")
     full = F.when(target == "", F.col(key)).when(target.startswith("/"), F.substring(target, 2, 1 << 20)).otherwise(F.concat(folder, target))
-    wanted = link.select(key, "link", resolved(full).alias("target"), F.when(F.col("link").contains("#"), F.substring_index("link", "#", -1)).alias("anchor"))
+    wanted = link.select(key, "link", resolved(full).alias("target"), F.when(plain.contains("#"), F.substring_index(plain, "#", -1)).alias("anchor"))
     files = paths.select(F.col("path").alias("target")).distinct()
     known = anchors(section, key).select(F.col(key).alias("target"), "anchor").distinct()
     gone = wanted.join(files, "target", "left_anti").select(key, "link", F.lit("no such file").alias("problem"))
-    there = wanted.join(files, "target", "left_semi").filter(F.col("anchor").isNotNull() & F.col("target").endswith(".md"))
-    lost = there.join(known, ["target", "anchor"], "left_anti").select(key, "link", F.lit("no such anchor").alias("problem"))
-    return gone.unionByName(lost).distinct()
+    there = wanted.join(files, "target", "left_semi").filter(F.col("anchor").isNotNull())
+    lined = F.col("anchor").rlike(LINES)
+    lost = there.filter(F.col("target").endswith(".md") & ~lined).join(known, ["target", "anchor"], "left_anti").select(key, "link", F.lit("no such anchor").alias("problem"))
+    out = gone.unionByName(lost)
+    if n_lines is not None:
+        last = F.coalesce(F.nullif(F.regexp_extract("anchor", LINES, 2), F.lit("")), F.regexp_extract("anchor", LINES, 1)).cast("long")
+        first = F.regexp_extract("anchor", LINES, 1).cast("long")
+        over = there.filter(lined).join(n_lines.select(F.col("path").alias("target"), "n_lines"), "target").filter((first < 1) | (last < first) | (last > F.col("n_lines")))
+        out = out.unionByName(over.select(key, "link", F.lit("no such lines").alias("problem")))
+    return out.distinct()
 
 
 def dead_symbols(section: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import extension, glob_pattern
@@ -90,22 +90,83 @@ def cached_facts(sources: DataFrame, cache: DataFrame, rules: str) -> tuple[Data
 
 
 def publish(tables: dict[str, DataFrame], root: str, generation: str, expected: str | None = None) -> str:
-    """Writes the tables of a generation and then points to it; returns the folder.
+    """Writes the tables of a generation, checks that all can be read, and then points to them; returns the folder.
 
-    Readers see the old generation or the new one, never a mixture. With
-    ``expected`` the pointer must still name that generation.
+    Readers see the old generation or the new one, never a mixture. Pointers
+    are numbered and a number is taken once, so that of two writers that start
+    from the same generation one fails. With ``expected`` the current pointer
+    must name that generation.
     """
     spark = next(iter(tables.values())).sparkSession
+    state = current(spark, root)
+    if expected is not None and state.get("generation") != expected:
+        raise RuntimeError("another generation was published")
     at = f"{root.rstrip('/')}/gen-{generation}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        df.write.parquet(f"{at}/{name}")
-    if expected is not None and current(spark, root).get("generation") != expected:
-        raise RuntimeError("another generation was published")
-    Folder(spark, root).publish("CURRENT", json.dumps({"generation": generation, "path": at}), replace=True)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{at}/{name}")
+        if spark.read.schema(df.schema).parquet(f"{at}/{name}").count() != seen.get.get("n", 0):
+            raise RuntimeError(f"{name} was not written whole")
+    point(spark, root, state, {"generation": generation, "path": at})
     return at
 
 
+def point(spark: SparkSession, root: str, state: dict, new: dict) -> None:
+    """Publishes what follows ``state``; RuntimeError if something else already does."""
+    no = state.get("no", 0) + 1
+    try:
+        Folder(spark, root).publish(f"current-{no:012d}.json", json.dumps(new | {"no": no}))
+    except FileExistsError:
+        raise RuntimeError("another generation was published") from None
+
+
 def current(spark: SparkSession, root: str) -> dict:
-    """What the pointer names; empty before the first generation."""
-    text = Folder(spark, root).read("CURRENT")
-    return {} if text is None else json.loads(text)
+    """What the latest pointer names; empty before the first generation."""
+    folder = Folder(spark, root)
+    names = [n for n in folder.names() if n.startswith("current-")]
+    return json.loads(folder.read(names[-1])) if names else {}
+
+
+def stale(listing: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Files of a listing (path, digest) that differ from what is indexed: path, change (added, removed or changed)."""
+    a, b = listing.select("path", F.col("digest").alias("now")).alias("a"), indexed.select("path", F.col("digest").alias("was")).alias("b")
+    j = a.join(b, F.col("a.path") == F.col("b.path"), "full")
+    change = F.when(F.col("b.path").isNull(), "added").when(F.col("a.path").isNull(), "removed").when(~F.col("now").eqNullSafe(F.col("was")), "changed")
+    return j.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change")).filter(F.col("change").isNotNull())
+
+
+def plan_refresh(changes: DataFrame, rebuild_share: float, n_indexed: int) -> str:
+    """What a stale index needs: fresh, delta, or rebuild if more than a share of what is indexed changed."""
+    n = changes.limit(int(n_indexed * rebuild_share) + 1).count()
+    return "fresh" if n == 0 else "rebuild" if n > n_indexed * rebuild_share else "delta"
+
+
+def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Lines of files (path, content) that only one version has, as often as it has them more: path, text, version, n."""
+    both = lines(old).groupBy("path", "text").agg(F.count(F.lit(1)).alias("a")).join(lines(new).groupBy("path", "text").agg(F.count(F.lit(1)).alias("b")), ["path", "text"], "full").na.fill(0, ["a", "b"])
+    return both.filter("a <> b").select("path", "text", F.when(F.col("a") > F.col("b"), "old").otherwise("new").alias("version"), F.abs(F.col("a") - F.col("b")).alias("n"))
+
+
+def outline(nodes: DataFrame, kinds: tuple[str, ...] = ("module", "class", "struct", "enum", "trait", "interface", "impl", "function", "method")) -> DataFrame:
+    """The outline of each file: path, entries (kind, name, line, end_line in order of lines)."""
+    e = F.struct("line", "end_line", "kind", "name")
+    return nodes.filter(F.col("kind").isin(*kinds) & F.col("path").isNotNull()).groupBy("path").agg(F.array_sort(F.collect_set(e)).alias("entries"))
+
+
+def previews(texts: DataFrame, nodes: DataFrame, before: int = 3) -> DataFrame:
+    """Each symbol's lines with up to ``before`` leading ones, cut off where an earlier symbol of the file ends: id, path, first, end_line, text."""
+    own = nodes.filter(F.col("line").isNotNull() & F.col("end_line").isNotNull() & (F.col("line") >= 1) & (F.col("end_line") >= F.col("line")))
+    ends = own.select("path", F.col("end_line").alias("e")).distinct()
+    # only ends within the leading lines matter
+    near = own.select("id", "path", "line", F.explode(F.sequence(F.col("line") - before, F.col("line") - 1)).alias("e")).join(ends, ["path", "e"], "left_semi").groupBy("id").agg(F.max("e").alias("e"))
+    spans = own.join(near, "id", "left").select("id", "path", F.greatest(F.col("line") - before, F.coalesce(F.col("e") + 1, F.lit(1)), F.lit(1)).alias("line"), "end_line")
+    return snippet(texts, spans).select("id", "path", F.col("line").alias("first"), "end_line", "text")
+
+
+def export(rows: DataFrame, column: str, root: str, name: str) -> str:
+    """Writes a text column to a folder below ``root``, in the order of the rows; returns the folder. Names leading out of it are refused."""
+    if name.startswith("/") or ".." in name.split("/") or not name:
+        raise ValueError(name)
+    at = f"{root.rstrip('/')}/{name}"
+    rows.select(F.col(column).cast("string").alias("value")).write.text(at)
+    return at

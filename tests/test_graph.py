@@ -139,6 +139,7 @@ def test_stream_equals_batch(spark, tmp_path):
     part = lambda names, seed: [(f"f{n}", i, f"n{random.Random(seed + i).randrange(5)}", "calls", f"n{r.randrange(5)}", i, None, None) for n in names for i in range(20)]
     schema = stream.OCCURRENCES
     one, two = part([1, 2, 3], 1), part([3, 4], 9)
+    two += [("f5", 0, "n1", "calls", None, 1, None, None), ("f5", 1, None, "calls", "n1", 1, None, None)] + two[:3]
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "out").mkdir()
     for data in (one, two):
@@ -147,15 +148,22 @@ def test_stream_equals_batch(spark, tmp_path):
     from graphloom.sources.workspace import current
 
     final = spark.createDataFrame([x for x in one if x[0] != "f3"] + two, schema)
-    at = current(spark, root)["path"]
-    assert rows(spark.read.parquet(at + "/edges")) == rows(graph.edge_table(final))
+    assert rows(stream.maintained(spark, root, "edges")) == rows(graph.edge_table(final.dropDuplicates(["owner_path", "ordinal"])))
+    assert stream.maintained(spark, root, "occurrences").count() == 20 * 4 + 2
+    at = current(spark, root)
     stream.apply_batch(spark, root, final.limit(0), 0)
-    assert current(spark, root)["path"] == at
+    assert current(spark, root) == at
+    # an owner with fewer rows takes its old ones out, and shards that are not touched stay where they are
+    stream.apply_batch(spark, root, spark.createDataFrame([("f4", 0, "n0", "calls", "n9", 1, None, None)], schema), at["batch"] + 1)
+    left = [x for x in one if x[0] in ("f1", "f2")] + [x for x in two if x[0] in ("f3", "f5")] + [("f4", 0, "n0", "calls", "n9", 1, None, None)]
+    assert rows(stream.maintained(spark, root, "edges")) == rows(graph.edge_table(spark.createDataFrame(left, schema).dropDuplicates(["owner_path", "ordinal"])))
+    moved = {s for s, p in current(spark, root)["occurrences"].items() if at["occurrences"].get(s) != p}
+    assert len(moved) <= 1
 
 
 def test_streaming_windows(spark, tmp_path, small):
     events = spark.read.parquet(small + "/events.parquet")
-    name = stream.fresh_name()
+    name = "windows_of_a_test"
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
     q = stream.event_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName(name).outputMode("complete").start()
     q.processAllAvailable()

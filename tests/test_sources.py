@@ -156,3 +156,54 @@ def test_document_search_filters(spark):
     assert {r["key"] for r in search.search_documents(docs, "graph", doc_type="guide", component="r").collect()} == {1}
     assert {r["key"] for r in search.search_documents(docs, "graph", component="r/archive").collect()} == set()
     assert search.search_documents(docs, "the of and").count() == 0
+
+
+def test_two_writers_of_one_generation(spark, tmp_path):
+    df = spark.range(3)
+    workspace.publish({"t": df}, str(tmp_path), "1")
+    state = workspace.current(spark, str(tmp_path))
+    workspace.point(spark, str(tmp_path), state, {"generation": "2", "path": "x"})
+    with pytest.raises(RuntimeError):
+        workspace.point(spark, str(tmp_path), state, {"generation": "3", "path": "y"})
+    assert workspace.current(spark, str(tmp_path))["generation"] == "2"
+
+
+def test_sql_in_code(spark):
+    texts = [("a.py", 'x = 1\nq = "SELECT a FROM t JOIN s.u ON 1 = 1"\nz = """\n  DELETE FROM v"""\ny = "from here select"\n'), ("b.rs", "let q = \"INSERT INTO w (a) VALUES (1)\"; // 'SELECT 1 FROM no'"), ("c.sql", "SELECT 1 FROM no"), ("d.go", None)]
+    got = code.extract_embedded_sql(spark.createDataFrame(texts, "path string, content string"))
+    assert rows(got) == [("a.py", "mutates_table", "v", 4), ("a.py", "queries_table", "s.u", 2), ("a.py", "queries_table", "t", 2), ("b.rs", "mutates_table", "w", 1)]
+
+
+def test_front_matter_names_the_type(spark):
+    texts = [("a.md", "---\ndoc_type: decision\ntitle: 'T'\n---\n# x"), ("docs/contracts/b.md", "# x"), ("c.md", None)]
+    got = markdown.typed_documents(spark.createDataFrame(texts, "path string, content string"))
+    assert rows(got) == [("a.md", "decision", "T", None), ("c.md", "guide", None, None), ("docs/contracts/b.md", "contract", None, None)]
+
+
+def test_links_with_escapes_and_line_anchors(spark):
+    texts = [("d/a.md", "# A b\n[x](b%20c.md) [y](../e.py#L2-L3) [z](../e.py#L9) [w](b%20c.md#gone) [v](#a-b) [u](../e.py#L3-L2) [t](bad%zz.md)"), ("d/b c.md", "# B"), ("e.py", "1\n2\n3")]
+    df = spark.createDataFrame(texts, "path string, content string")
+    n = df.select("path", F.size(F.split("content", "\n")).cast("long").alias("n_lines"))
+    got = markdown.broken_links(markdown.sections(df.filter("path LIKE '%.md'"), "path", "content"), df.select("path"), n_lines=n)
+    assert rows(got, "link", "problem") == [("../e.py#L3-L2", "no such lines"), ("../e.py#L9", "no such lines"), ("b%20c.md#gone", "no such anchor"), ("bad%zz.md", "no such file")]
+
+
+def test_freshness_of_an_index(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, digest string")
+    was = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4"), ("c", None)], "path string, digest string")
+    changes = workspace.stale(now, was)
+    assert rows(changes) == [("b", "changed"), ("d", "removed")]
+    assert [workspace.plan_refresh(changes, share, 4) for share in (0.5, 0.2)] == ["delta", "rebuild"] and workspace.plan_refresh(changes.limit(0), 0.2, 4) == "fresh"
+
+
+def test_read_modes(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "1\n2\n3\n4\n5\n6")], "path string, content string")
+    nodes = spark.createDataFrame([("x", "a", 1, 2, "function", "f"), ("y", "a", 4, 5, "function", "g"), ("z", "a", 6, None, "class", "h")], "id string, path string, line long, end_line long, kind string, name string")
+    assert rows(workspace.previews(texts, nodes), "id", "first", "text") == [("x", 1, "1\n2"), ("y", 3, "3\n4\n5")]
+    assert [e["name"] for e in workspace.outline(nodes).first()["entries"]] == ["f", "g", "h"]
+    assert rows(workspace.changed_lines(texts, spark.createDataFrame([("a", "1\n2\n3\n4\n5\n7\n7")], "path string, content string"))) == [("a", "6", "old", 1), ("a", "7", "new", 2)]
+    at = workspace.export(texts, "path", str(tmp_path), "out/x")
+    assert rows(spark.read.text(at)) == [("a",)]
+    for name in ("/x", "../x", ""):
+        with pytest.raises(ValueError):
+            workspace.export(texts, "path", str(tmp_path), name)
