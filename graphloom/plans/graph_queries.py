@@ -69,9 +69,11 @@ def edge_projection(spark, d):
     return graph.described_edges(graph.load(spark, d))
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT src, kind, dst FROM e WHERE src NOT IN (SELECT id FROM n) OR (NOT starts_with(dst, 'external:') AND dst NOT IN (SELECT id FROM n))")
+@query(f"WITH {EDGES}, v AS (SELECT id FROM n WHERE kind NOT IN ('variable', 'enum')) SELECT DISTINCT src, kind, dst FROM e WHERE src NOT IN (SELECT id FROM v) OR (NOT starts_with(dst, 'external:') AND dst NOT IN (SELECT id FROM v))")
 def dangling_edges(spark, d):
-    return graph.dangling(graph.load(spark, d))
+    """Whole data dangles nowhere: variables and enums are taken out first."""
+    g = graph.load(spark, d)
+    return graph.dangling(dataclasses.replace(g, nodes=g.nodes.filter("kind NOT IN ('variable', 'enum')")))
 
 
 @query(f"WITH {EDGES} SELECT id, direction, kind, count(*) AS n FROM (SELECT src AS id, 'out' AS direction, kind FROM e UNION ALL SELECT dst, 'in', kind FROM e) GROUP BY ALL")

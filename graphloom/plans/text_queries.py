@@ -171,9 +171,11 @@ def term_frequencies(spark, d):
     return docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"WITH {NODES} SELECT id, 'Vec<' || kind || '>' AS return_type FROM n WHERE name IS NOT NULL")
 def declared_return_types(spark, d):
-    return search.declared_types(_nodes(spark, d))
+    """The tables have no signatures; names and kinds make them."""
+    sig = F.concat(F.lit("fn "), "name", F.lit("(cb: (x, [y]) -> z) -> Vec<"), "kind", F.lit("> where T: C"))
+    return search.declared_types(_nodes(spark, d).withColumn("details", F.to_json(F.struct(sig.alias("signature")))).filter("name IS NOT NULL"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE trim(regexp_extract(ltrim(text), '^([^\n]*)', 1)) END AS first_line FROM documents""")
@@ -181,7 +183,7 @@ def first_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_extract(F.ltrim("text"), "^([^\\n]*)", 1)).alias("first_line"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE trim(CASE WHEN regexp_matches(split_part(ltrim(text, ' '), chr(10), 1), '[.!?](\s|$)') THEN regexp_extract(split_part(ltrim(text, ' '), chr(10), 1), '^.*?[.!?](\s|$)') ELSE split_part(ltrim(text, ' '), chr(10), 1) END, ' ') END AS sentence FROM documents")
 def first_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", first_sentence(F.col("text")).alias("sentence"))
 
@@ -213,9 +215,19 @@ def _md(spark, d):
     return markdown.sections(texts, "path", "content")
 
 
-@query()
+_PARENT = "regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', '')"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT path FROM file_texts WHERE path IS NOT NULL), l AS (SELECT path, split_part(path, '/', -1) AS base, CASE WHEN {_PARENT} = '' THEN split_part(path, '/', -1) ELSE {_PARENT} || '/' || split_part(path, '/', -1) END AS above FROM p)
+SELECT path || '.md' AS path, '../' || base AS link, 'no such file' AS problem FROM l WHERE above NOT IN (SELECT path FROM p) UNION ALL SELECT path || '.md', './' || base || '.md#gone', 'no such anchor' FROM l"""
+)
 def broken_links(spark, d):
-    return markdown.broken_links(_md(spark, d), table(spark, d, "file_texts").select("path"))
+    """The Markdown of the tables has no links: a page beside every file links to the file, to one above it, and to a lost anchor of its own."""
+    p = table(spark, d, "file_texts").filter("path IS NOT NULL").select("path").distinct()
+    base = F.substring_index("path", "/", -1)
+    pages = p.select(F.concat("path", F.lit(".md")).alias("path"), F.concat(F.lit("# Page\n[a](../"), base, F.lit(") [b](./"), base, F.lit(") [c](./"), base, F.lit(".md#gone) [d](#page)")).alias("content"))
+    return markdown.broken_links(markdown.sections(pages, "path", "content"), p.union(pages.select("path")))
 
 
 @query("SELECT DISTINCT path, CASE WHEN regexp_matches(path, '(^|/)docs/(milestones|contracts)/') THEN 'contract' ELSE 'guide' END AS doc_type FROM files WHERE ends_with(path, '.md')")
@@ -281,9 +293,55 @@ def sql_table_uses(spark, d):
     return code.extract_sql(table(spark, d, "file_texts"))
 
 
-@query()
+@query(f"WITH {NODES} SELECT DISTINCT path || '/Cargo.toml' AS path, name, '1.' || line AS version, ['a', 'b/*'] AS members, ['dep-' || kind, 'tester'] AS dependencies FROM n WHERE kind = 'component' AND path IS NOT NULL")
 def manifest_components(spark, d):
-    return code.extract_manifests(table(spark, d, "file_texts"))
+    """The tables have no manifests; one is made for each component."""
+    c = _nodes(spark, d).filter("kind = 'component' AND path IS NOT NULL")
+    text = F.format_string('[package]\nname = "%s"\nversion = "1.%d"\n[workspace]\nmembers = ["a", "b/*"]\n[dependencies]\n"dep-%s" = "1"\n[dev-dependencies]\ntester = { path = "x" }\n', "name", "line", "kind")
+    return code.extract_manifests(c.select(F.concat("path", F.lit("/Cargo.toml")).alias("path"), text.alias("content")))
+
+
+@query(f"WITH {NODES} SELECT id || '.py' AS path, CASE WHEN is_test THEN 'mutates_table' ELSE 'queries_table' END AS use, 't_' || kind AS name, 2 AS line FROM n")
+def embedded_sql_uses(spark, d):
+    """The code of the tables has no SQL in it; a statement is made for each node."""
+    n = _nodes(spark, d)
+    text = F.concat(F.lit("# FROM nowhere\nq = '"), F.when(F.col("is_test"), F.concat(F.lit("UPDATE t_"), "kind", F.lit(" SET a = 1"))).otherwise(F.concat(F.lit("SELECT a FROM t_"), "kind", F.lit(" x"))), F.lit("'\n"))
+    return code.extract_embedded_sql(n.select(F.concat("id", F.lit(".py")).alias("path"), text.alias("content")))
+
+
+@query("SELECT doc_id::VARCHAR AS path, coalesce(source, 'guide') AS doc_type, 'About ' || coalesce(repo, 'nothing') AS title, NULL::VARCHAR AS status FROM documents")
+def front_matter(spark, d):
+    """Documents get their source as type in a front matter."""
+    docs = table(spark, d, "documents")
+    head = F.concat(F.lit("---\n"), F.when(F.col("source").isNotNull(), F.concat(F.lit("doc_type: "), "source", F.lit("\n"))).otherwise(""), F.lit("title: 'About "), F.coalesce("repo", F.lit("nothing")), F.lit("'\n---\n"), F.coalesce("text", F.lit("")))
+    return markdown.typed_documents(docs.select(F.col("doc_id").cast("string").alias("path"), head.alias("content")))
+
+
+@query(
+    f"""WITH {NODES}, t AS (SELECT path, max(content) AS content FROM file_texts WHERE content IS NOT NULL GROUP BY path), s AS (SELECT * FROM n WHERE line >= 1 AND end_line >= line),
+p AS (SELECT s.id, s.path, s.line, s.end_line, max(q.end_line) AS e FROM s LEFT JOIN s q ON q.path = s.path AND q.end_line < s.line AND q.end_line >= s.line - 3 GROUP BY ALL)
+SELECT id, path, greatest(line - 3, coalesce(e + 1, 1), 1) AS first, end_line, array_to_string(string_split(regexp_replace(content, '\r\n?', '\n', 'g'), '\n')[greatest(line - 3, coalesce(e + 1, 1), 1):end_line], '\n') AS text FROM p JOIN t USING (path)"""
+)
+def source_previews(spark, d):
+    texts = table(spark, d, "file_texts").filter(F.col("content").isNotNull()).groupBy("path").agg(F.max("content").alias("content"))
+    return workspace.previews(texts, _nodes(spark, d))
+
+
+@query(
+    f"""WITH {NODES}, k AS (SELECT DISTINCT path, line, end_line, kind, name FROM n WHERE path IS NOT NULL AND kind IN ('module', 'class', 'struct', 'enum', 'trait', 'interface', 'impl', 'function', 'method'))
+SELECT path, count(*) AS n_entries, first(name ORDER BY line, end_line NULLS FIRST, kind, name) AS first_name FROM k GROUP BY path"""
+)
+def file_outlines(spark, d):
+    return workspace.outline(_nodes(spark, d)).select("path", F.size("entries").cast("long").alias("n_entries"), F.col("entries")[0]["name"].alias("first_name"))
+
+
+@query(
+    f"""WITH a AS (SELECT {_PATH} AS path, max((snapshot_no, right(lower(digest), 64))) AS m FROM source_inventory WHERE digest IS NOT NULL GROUP BY 1), b AS (SELECT {_PATH} AS path, max((indexed_at, right(lower(digest), 64))) AS m FROM files WHERE digest IS NOT NULL GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.m[2] <> b.m[2]"""
+)
+def stale_files(spark, d):
+    last = lambda name, by: table(spark, d, name).filter("digest IS NOT NULL").groupBy(normal_path(F.col("path")).alias("path")).agg(F.max(F.struct(F.col(by), normal_digest(F.col("digest")).alias("d"))).alias("m")).select("path", F.col("m.d").alias("digest"))
+    return workspace.stale(last("source_inventory", "snapshot_no"), last("files", "indexed_at"))
 
 
 @query()
@@ -291,7 +349,10 @@ def structural_search(spark, d):
     return code.search_structure(table(spark, d, "file_texts"), "$X.append($V * $N)")
 
 
-@query()
+@query(
+    f"""WITH {NODES}, t AS (SELECT path, max(content) AS content FROM file_texts WHERE content IS NOT NULL GROUP BY path)
+SELECT id, path, line, end_line, array_to_string(string_split(regexp_replace(content, '\r\n?', '\n', 'g'), '\n')[line:end_line], '\n') AS text FROM n JOIN t USING (path) WHERE line >= 1 AND end_line >= line"""
+)
 def source_snippets(spark, d):
     spans = _nodes(spark, d).filter(F.col("end_line").isNotNull()).select("id", "path", "line", "end_line")
     texts = table(spark, d, "file_texts").filter(F.col("content").isNotNull()).groupBy("path").agg(F.max("content").alias("content"))
@@ -312,21 +373,39 @@ def _urls(spark, d):
     return table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(_URL.strip("'")), 1)).alias("url"))
 
 
-@query()
+_SEGMENT = r"^(<[^>]*>|:[^/]+|\{.*\}|\$\{.*\}|[0-9]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+
+
+def _split_route(c: str) -> str:
+    return f"list_transform(string_split(regexp_replace(lower(regexp_replace({c}, '[?#].*$', '')), '(.)/+$', '\\1'), '/'), lambda s: CASE WHEN regexp_matches(s, '{_SEGMENT}') THEN '{{param}}' ELSE s END)"
+
+
+@query(
+    f"""WITH {NODES}, u AS (SELECT DISTINCT '/' || path || CASE WHEN line % 2 = 0 THEN '/' || line ELSE '/tail' END AS client FROM n WHERE path IS NOT NULL AND line IS NOT NULL), r0 AS (SELECT DISTINCT '/' || path || CASE WHEN is_test THEN '/:id' ELSE '/tail' END AS route FROM n WHERE path IS NOT NULL UNION SELECT '/' || regexp_replace(path, '[^/]*$', '') || '{{file}}/{{id}}' FROM n WHERE path IS NOT NULL),
+c AS (SELECT client, {_split_route('client')} AS a FROM u), r AS (SELECT DISTINCT {_split_route('route')} AS b FROM r0),
+j AS (SELECT client, b, list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] = b[i] AND b[i] = '{{param}}' THEN 2 WHEN a[i] = b[i] THEN 3 ELSE 1 END)) AS score FROM c JOIN r ON len(a) = len(b) AND a[2] = b[2] AND len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i] AND b[i] <> '{{param}}')) = 0),
+k AS (SELECT *, max(score) OVER (PARTITION BY client) AS best FROM j)
+SELECT client, array_to_string(min(b), '/') AS route, CAST(max(score) AS INTEGER) AS score FROM k WHERE score = best GROUP BY client HAVING count(*) = 1"""
+)
 def route_match(spark, d):
-    urls = _urls(spark, d).distinct()
-    known = urls.select(route(F.col("url")).alias("route")).distinct()
-    return routes.match_routes(urls, known)
+    """The tables have no routes: paths of nodes make some, plain and with parameters, and URLs that ask for them."""
+    n = _nodes(spark, d).filter("path IS NOT NULL")
+    asked = n.filter("line IS NOT NULL").select(F.concat(F.lit("/"), "path", F.when(F.col("line") % 2 == 0, F.concat(F.lit("/"), F.col("line").cast("string"))).otherwise("/tail")).alias("url"))
+    plain = n.select(F.concat(F.lit("/"), "path", F.when(F.col("is_test"), "/:id").otherwise("/tail")).alias("route"))
+    loose = n.select(F.concat(F.lit("/"), F.regexp_replace("path", "[^/]*$", ""), F.lit("{file}/{id}")).alias("route"))
+    return routes.match_routes(asked, plain.union(loose))
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT owner_path AS owner, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS scope FROM nodes WHERE kind = 'component' AND path IS NOT NULL)
+    """WITH s AS (SELECT DISTINCT id AS owner, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS scope FROM nodes WHERE kind = 'component' AND path IS NOT NULL UNION SELECT 'all of ' || split_part(path, '/', 1), split_part(path, '/', 1) FROM nodes WHERE kind = 'component' AND path IS NOT NULL)
 SELECT DISTINCT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b FROM s a JOIN s b ON a.owner <> b.owner AND (a.scope = b.scope OR starts_with(a.scope, b.scope || '/'))"""
 )
 def scope_conflicts(spark, d):
-    n = table(spark, d, "nodes").filter("kind = 'component'")
+    """Scopes of components, and one more for each whole repository, that these lie in."""
+    n = table(spark, d, "nodes").filter("kind = 'component' AND path IS NOT NULL")
     scope = F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2)))
-    return routes.scope_overlaps(n.filter(F.col("path").isNotNull()).select(F.col("owner_path").alias("owner"), scope.alias("scope")))
+    repo = F.split_part("path", F.lit("/"), F.lit(1))
+    return routes.scope_overlaps(n.select(F.col("id").alias("owner"), scope.alias("scope")).union(n.select(F.concat(F.lit("all of "), repo), F.concat(repo, F.lit("/**")))))
 
 
 # -- surface
