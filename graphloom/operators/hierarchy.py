@@ -35,6 +35,9 @@ def parents(links: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max("parent").alias("parent"), F.max("several").alias("several"), F.max("inner").alias("inner"))
 
 
+FEW = 25_000  # open nodes that a round sends to every task, some ten megabytes, instead of shuffling all inner nodes
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -60,7 +63,7 @@ def _climb(nodes: DataFrame, with_sizes: bool) -> tuple[DataFrame, DataFrame, in
         k += 1
         s = tables[-1].filter("NOT done")
         t = _union([x.filter("done AND inner") for x in tables] + [s.filter("inner")]).select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("done").alias("t_done"))
-        moved = s.join(t, F.col("anc") == F.col("t_id")).select(
+        moved = (F.broadcast(s) if left <= FEW else s).join(t, F.col("anc") == F.col("t_id")).select(
             "id", "parent", F.coalesce("t_anc", "anc").alias("anc"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.col("t_done").alias("done"), "size", "inner", F.lit(k).alias("round")
         )
         if with_sizes:
@@ -137,7 +140,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
         while tables[-1].n_where:
             s = tables[-1].filter("NOT done")
             t = _union([x.filter("done AND inner") for x in tables] + [s.filter("inner")]).select(*[F.col(c).alias(f"t_{c}") for c in ("id", "anc", "at", "path", "tree_size", "done")])
-            moved = s.join(t, F.col("anc") == F.col("t_id")).select("id", F.coalesce("t_anc", "anc").alias("anc"), (F.col("at") + F.col("t_at")).alias("at"), F.concat("t_path", "path").alias("path"), F.col("t_tree_size").alias("tree_size"), F.col("t_done").alias("done"), "inner")
+            moved = (F.broadcast(s) if tables[-1].n_where <= FEW else s).join(t, F.col("anc") == F.col("t_id")).select("id", F.coalesce("t_anc", "anc").alias("anc"), (F.col("at") + F.col("t_at")).alias("at"), F.concat("t_path", "path").alias("path"), F.col("t_tree_size").alias("tree_size"), F.col("t_done").alias("done"), "inner")
             tables.append(cut(moved, ~F.col("done")))
         down = _union([x.filter("done") for x in tables]).select("id", "at", "path", "tree_size")
         placed = tree.join(down, "id").select(
