@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import normal_digest, normal_path, repo_of
-from graphloom.operators.snapshots import holding_rows, snapshot_list
+from graphloom.operators.snapshots import _small, holding_rows
 from graphloom.session import Folder, delete, fresh
 
 BLOCK = 1 << 16
@@ -77,9 +77,10 @@ def in_intervals(records: DataFrame, wanted: DataFrame, stream: str = "stream",
 
 
 def newest_listing(inventory: DataFrame) -> DataFrame:
-    """Holding rows of each repository's newest snapshot."""
-    last = snapshot_list(inventory).filter(F.col("next_no").isNull()).select("repo", "snapshot_no")
-    return holding_rows(inventory).join(last, ["repo", "snapshot_no"])
+    """Holding rows of each repository's newest snapshot: repo, path, snapshot_no, digest, size; older snapshots are left out before the shuffle."""
+    rows = delivered(inventory).withColumn("repo", repo_of(F.col("path")))
+    last = _small(rows.groupBy("repo").agg(F.max("snapshot_no").alias("snapshot_no")))
+    return holding_rows(rows.join(last, ["repo", "snapshot_no"]).drop("repo"))
 
 
 def recorded_state(files: DataFrame, runs: DataFrame) -> DataFrame:
