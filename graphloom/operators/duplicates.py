@@ -55,26 +55,34 @@ def near_clones(bodies: DataFrame, least: float = 0.8) -> DataFrame:
     Equal bodies are one representative first. Along the order of ids each
     representative joins the first cluster whose first member it resembles, or
     starts one. Only clusters of two or more symbols are given. Names are
-    clustered one at a time, so a name's representatives are never held at once
-    with another's; a cluster head is kept, its members are not.
+    clustered one at a time; cluster heads are kept, members are not. A body
+    is compared with the heads that have a pair of lines in the same place: as
+    fewer lines may differ than there are pairs, no other can resemble it.
     """
+    if least < 0.75:
+        raise ValueError("pairs of lines find all likenesses of 0.75 or more only")
     h = bodies.select("name", "id", "body", F.sha2(F.array_join("body", "\n"), 256).alias("digest"))
     rep = h.groupBy("name", "digest").agg(F.min(F.struct("id", "body")).alias("r")).select("name", "digest", F.col("r.id").alias("id"), F.col("r.body").alias("body"))
     ordered = rep.repartition("name").sortWithinPartitions("name", "id")
 
     def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, heads = None, []
+        name, heads, places = None, [], {}
         for batch in batches:
             out = []
             for n, d, i, body in zip(batch["name"], batch["digest"], batch["id"], batch["body"]):
                 if n != name:
-                    name, heads = n, []
+                    name, heads, places = n, [], {}
                 body = list(body)
-                for head_id, head in heads:
+                # a body of one line has no pair and stands for itself
+                pairs = [(k, hash((body[k], body[k + 1]))) for k in range(0, len(body) - 1, 2)] or [(0, hash(tuple(body)))]
+                for at in sorted({x for p in pairs for x in places.get(p, ())}):
+                    head_id, head = heads[at]
                     longest = max(len(head), len(body))
                     if min(len(head), len(body)) >= least * longest and sum(a == b for a, b in zip(head, body)) >= least * longest:
                         break
                 else:
+                    for p in pairs:
+                        places.setdefault(p, []).append(len(heads))
                     heads.append((i, body))
                     head_id = i
                 out.append((n, d, head_id))

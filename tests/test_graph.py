@@ -121,6 +121,28 @@ def test_near_clones(spark):
     assert rows(duplicates.near_clones(df), "name", "cluster", "id") == sorted([("f", "1", "1"), ("f", "1", "2"), ("f", "1", "3"), (None, "6", "6"), (None, "6", "7")], key=repr)
 
 
+def test_near_clones_against_all_heads(spark):
+    r = random.Random(8)
+    data = []
+    for i in range(120):
+        body = [f"l{k}" for k in range(r.choice([1, 2, 3, 4, 5, 7, 10, 20]))]
+        for _ in range(r.randrange(3)):
+            body[r.randrange(len(body))] = r.choice("xyz")
+        data.append(("f", f"{i:03}", body + ["e"] * r.randrange(2)))
+    want, heads = {}, []
+    for _, i, body in data:
+        for head_id, head in heads:
+            n = max(len(head), len(body))
+            if min(len(head), len(body)) >= 0.8 * n and sum(a == b for a, b in zip(head, body)) >= 0.8 * n:
+                break
+        else:
+            head_id = i
+            heads.append((i, body))
+        want.setdefault(head_id, []).append(i)
+    got = duplicates.near_clones(spark.createDataFrame(data, "name string, id string, body array<string>"))
+    assert rows(got, "cluster", "id") == sorted((c, i) for c, own in want.items() if len(own) > 1 for i in own)
+
+
 def test_routes_and_scopes(spark):
     urls = spark.createDataFrame([("/api/users/42?x=1",), ("/api/users/me",), ("/api/none/1/2",), (None,)], "url string")
     known = spark.createDataFrame([("/api/users/{id}",), ("/api/users/me",), ("/api/:kind/42",)], "route string")
