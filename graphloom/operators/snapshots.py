@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import normal_digest, normal_path, repo_of
-from graphloom.session import Folder, fresh
+from graphloom.session import Folder, cut, fresh
 
 COLUMNS = ["snapshot_no", "delivered_at", "path", "digest", "size"]
 
@@ -173,8 +173,9 @@ class SnapshotStore:
 
 
 def _small(known: DataFrame) -> DataFrame:
-    """The list of snapshots, to be broadcast if it is counted to be small; else Spark joins it by shuffle."""
-    return F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
+    """A list with a row per snapshot or repository, written once, and broadcast if it was counted to be small; else Spark joins it by shuffle."""
+    known = cut(known)
+    return F.broadcast(known) if known.n_rows <= BROADCAST_ROWS else known
 
 
 def _differs(a: Column, b: Column, c: Column, d: Column) -> Column:
