@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import within
-from graphloom.operators.graph import CALLABLE, ENTRY_WIRING, REVERSE, TEST_REACH, TYPE_KINDS, Graph, detail, is_public
+from graphloom.operators.graph import CALLABLE, ENTRY_WIRING, REVERSE, SUBTYPING, TEST_REACH, TYPE_KINDS, Graph, detail, is_public
 from graphloom.operators.traversal import callable_nodes, covering_tests
 
 
@@ -47,12 +47,14 @@ def entry_ranks(g: Graph) -> DataFrame:
     return best.withColumn("category", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("rank") + 1))
 
 
-def removal(g: Graph, scopes: DataFrame) -> DataFrame:
-    """Whether what lies in each scope could be removed: scope, n_nodes, n_dependents, safe.
+def removal(g: Graph, scopes: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Whether what lies in each scope could be removed: scope, n_nodes, n_dependents, n_unresolved, n_errors, safe.
 
     ``scopes`` has scope and id, the nodes of each. Dependents are edges from
     outside a scope into it; containment and document references do not count,
-    and kinds stored against their meaning are read backwards.
+    and kinds stored against their meaning are read backwards. References of
+    its nodes without a target, and syntax errors (path, line, message) of its
+    files, leave the answer open, so that it is not safe either.
     """
     s = scopes.select("scope", "id").distinct()
     real = g.keys.filter(~F.col("kind").isin("contains", "references_doc"))
@@ -60,8 +62,16 @@ def removal(g: Graph, scopes: DataFrame) -> DataFrame:
     back = real.filter(F.col("kind").isin(*REVERSE)).select(F.col("dst").alias("user"), F.col("src").alias("id"))
     uses = ahead.unionByName(back).distinct().join(s, "id")
     outside = uses.join(s.select("scope", F.col("id").alias("user")), ["scope", "user"], "left_anti").groupBy("scope").agg(F.count(F.lit(1)).alias("n_dependents"))
-    n = s.groupBy("scope").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return n.join(outside, "scope", "left").select("scope", "n_nodes", F.coalesce("n_dependents", F.lit(0)).alias("n_dependents"), F.col("n_dependents").isNull().alias("safe"))
+    open_ = g.occurrences.filter(F.col("dst").isNull()).select(F.col("src").alias("id")).join(s, "id").groupBy("scope").agg(F.count(F.lit(1)).alias("n_unresolved"))
+    out = s.groupBy("scope").agg(F.count(F.lit(1)).alias("n_nodes")).join(outside, "scope", "left").join(open_, "scope", "left")
+    if errors is None:
+        out = out.withColumn("n_errors", F.lit(0).cast("long"))
+    else:
+        files = s.join(g.nodes.select("id", "path"), "id").select("scope", "path").distinct()
+        out = out.join(files.join(errors, "path").groupBy("scope").agg(F.count(F.lit(1)).alias("n_errors")), "scope", "left")
+    counts = ["n_dependents", "n_unresolved", "n_errors"]
+    out = out.na.fill(0, counts).select("scope", "n_nodes", *counts)
+    return out.withColumn("safe", (F.col("n_dependents") == 0) & (F.col("n_unresolved") == 0) & (F.col("n_errors") == 0))
 
 
 def governing(g: Graph) -> DataFrame:
@@ -154,13 +164,23 @@ def containers(g: Graph) -> DataFrame:
     return g.keys.filter("kind = 'contains'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("container"))
 
 
-def call_previews(g: Graph, top: int = 5) -> DataFrame:
-    """The first callers of each node in byte order, as one list, with their number: id, n_callers, callers."""
-    calls = g.keys.filter("kind = 'calls'").select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
-    w = Window.partitionBy("id").orderBy("caller")
+def call_previews(g: Graph, top: int = 5, callees: bool = False) -> DataFrame:
+    """The first callers of each node in byte order, as one list, with their number: id, n_callers, callers; or its callees."""
+    here, there = ("src", "dst") if callees else ("dst", "src")
+    name = "callees" if callees else "callers"
+    calls = g.keys.filter("kind = 'calls'").select(F.col(here).alias("id"), F.col(there).alias("other")).distinct()
+    w = Window.partitionBy("id").orderBy("other")
     ranked = calls.withColumn("rank", F.row_number().over(w))
-    lists = ranked.filter(F.col("rank") <= top).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "caller"))), lambda x: x["caller"]), ", ").alias("callers"))
-    return calls.groupBy("id").agg(F.count(F.lit(1)).alias("n_callers")).join(lists, "id")
+    lists = ranked.filter(F.col("rank") <= top).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]), ", ").alias(name))
+    return calls.groupBy("id").agg(F.count(F.lit(1)).alias(f"n_{name}")).join(lists, "id")
+
+
+def type_relations(g: Graph, top: int = 50) -> DataFrame:
+    """The first types that implement each type, and that it implements, in byte order: id, relation (implementors or implements), other, place."""
+    e = g.keys.filter(F.col("kind").isin(*SUBTYPING))
+    both = e.select(F.col("dst").alias("id"), F.lit("implementors").alias("relation"), F.col("src").alias("other")).unionByName(e.select(F.col("src").alias("id"), F.lit("implements").alias("relation"), F.col("dst").alias("other"))).distinct()
+    w = Window.partitionBy("id", "relation").orderBy("other")
+    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
 
 def outside_callers(g: Graph) -> DataFrame:

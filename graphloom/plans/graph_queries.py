@@ -251,12 +251,15 @@ def entry_ranks(spark, d):
 @query(
     f"""WITH {EDGES}, s AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS scope, id FROM n WHERE path IS NOT NULL),
 u AS (SELECT src AS "user", dst AS id FROM e WHERE kind NOT IN ('contains', 'references_doc', {REVERSE}) UNION SELECT dst, src FROM e WHERE kind IN ({REVERSE})),
-x AS (SELECT s.scope, count(*) AS n FROM u JOIN s ON s.id = u.id WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.id = u."user" AND z.scope = s.scope) GROUP BY s.scope)
-SELECT s.scope, count(*) AS n_nodes, coalesce(max(x.n), 0) AS n_dependents, max(x.n) IS NULL AS safe FROM s LEFT JOIN x USING (scope) GROUP BY s.scope"""
+x AS (SELECT s.scope, count(*) AS n FROM u JOIN s ON s.id = u.id WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.id = u."user" AND z.scope = s.scope) GROUP BY s.scope),
+y AS (SELECT s.scope, count(*) AS n FROM o JOIN s ON s.id = o.src WHERE o.dst IS NULL GROUP BY s.scope),
+er AS (SELECT DISTINCT path, run_id, digest FROM files WHERE status = 'error' AND path IS NOT NULL), z AS (SELECT p.scope, count(*) AS n FROM (SELECT DISTINCT s.scope, n.path FROM s JOIN n USING (id)) p JOIN er USING (path) GROUP BY p.scope)
+SELECT s.scope, count(*) AS n_nodes, coalesce(max(x.n), 0) AS n_dependents, coalesce(max(y.n), 0) AS n_unresolved, coalesce(max(z.n), 0) AS n_errors, max(x.n) IS NULL AND max(y.n) IS NULL AND max(z.n) IS NULL AS safe FROM s LEFT JOIN x USING (scope) LEFT JOIN y USING (scope) LEFT JOIN z USING (scope) GROUP BY s.scope"""
 )
 def removal_blockers(spark, d):
     g = graph.load(spark, d)
-    return usage.removal(g, g.nodes.filter(F.col("path").isNotNull()).select(F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2))).alias("scope"), "id"))
+    scopes = g.nodes.filter(F.col("path").isNotNull()).select(F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2))).alias("scope"), "id")
+    return usage.removal(g, scopes, _errors(spark, d)[0])
 
 
 _GOVERN = f"""{EDGES}, dr AS (SELECT DISTINCT dst AS id, src AS governor FROM e WHERE kind = 'governs'),
@@ -304,6 +307,22 @@ def call_previews(spark, d):
     return usage.call_previews(graph.load(spark, d))
 
 
+@query(
+    f"""WITH {EDGES}, c AS (SELECT DISTINCT src AS id, dst AS callee FROM e WHERE kind = 'calls'), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY callee) AS rank, count(*) OVER (PARTITION BY id) AS n_callees FROM c)
+SELECT id, n_callees, string_agg(callee, ', ' ORDER BY rank) FILTER (WHERE rank <= 5) AS callees FROM r GROUP BY id, n_callees"""
+)
+def callee_previews(spark, d):
+    return usage.call_previews(graph.load(spark, d), callees=True)
+
+
+@query(
+    f"""WITH {EDGES}, b AS (SELECT dst AS id, 'implementors' AS relation, src AS other FROM e WHERE kind IN ({SUB}) UNION SELECT src, 'implements', dst FROM e WHERE kind IN ({SUB}))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id, relation ORDER BY other) AS INTEGER) AS place FROM b) WHERE place <= 50"""
+)
+def type_relations(spark, d):
+    return usage.type_relations(graph.load(spark, d))
+
+
 @query(
     f"""WITH {EDGES}, c AS (SELECT e.dst AS id, count(DISTINCT n.path) AS k FROM e JOIN n ON n.id = e.src WHERE e.kind = 'calls' AND NOT coalesce(n.is_test, false) GROUP BY e.dst)
 SELECT n.id, coalesce(k, 0) AS n_files FROM n LEFT JOIN c USING (id) WHERE n.kind IN ({CALLABLE})"""

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     if at not in _folders:
         _folders.add(at)
-        atexit.register(_quietly, spark.sparkContext, at)
+        atexit.register(_quietly, *_located(spark.sparkContext, at))
     return at
 
 
@@ -45,22 +45,29 @@ _folders: set[str] = set()
 _scopes: list[list[str]] = []
 
 
+def _located(sc, at: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
 def delete(sc, at: str) -> None:
     """Delete a folder on any file system that Spark can reach."""
-    path = sc._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _located(sc, at)
+    fs.delete(path, True)
 
 
 def exists(spark: SparkSession, at: str) -> bool:
     """Whether a path is there on any file system that Spark can reach."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    fs, path = _located(spark.sparkContext, at)
+    return fs.exists(path)
 
 
-def _quietly(sc, at: str) -> None:
+def _quietly(fs, path) -> None:
+    """Delete at the end of the driver; the session may have been stopped before, and the JVM may be gone."""
     try:
-        delete(sc, at)
-    except Exception:  # the JVM may be gone before the driver's Python
+        fs.delete(path, True)
+    except Exception:
         pass
 
 
