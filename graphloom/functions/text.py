@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-# Accented letters of Latin scripts and what they fold to.
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
+
+def _folded() -> tuple[str, str]:
+    """Lower-case letters with marks below U+2000, and what they are without: what Unicode takes apart into a letter and marks, and ø."""
+    pairs = [("ø", "o")]
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and c == c.lower() and parts[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _folded()
 
 # Words that a document search drops from a query.
 STOP_WORDS = tuple(
@@ -17,7 +29,7 @@ STOP_WORDS = tuple(
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits without diacritics, as an array."""
+    """Lower-case runs of letters and digits without diacritics, as an array; marks that stand alone separate words."""
     return F.regexp_extract_all(F.translate(F.lower(text), _ACCENTED, _PLAIN), F.lit("([\\p{L}\\p{N}]+)"), 1)
 
 

@@ -44,6 +44,13 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return rows.select("path", "size", "modified", language_of(F.col("path")).alias("language"), F.when(fits, "indexed").otherwise("skipped").alias("status"), F.when(fits, F.sha2("content", 256)).alias("digest"), F.when(fits, F.decode("content", "UTF-8")).alias("content"))
 
 
+def check_bounds(files: DataFrame, most_files: int = 100_000, most_bytes: int = 500 << 20) -> None:
+    """ValueError if a scan has more files, or more bytes to read, than an index is meant for."""
+    n = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("status") == "indexed", F.col("size"))), F.lit(0)).alias("b")).first()
+    if n["n"] > most_files or n["b"] > most_bytes:
+        raise ValueError(f"{n['n']} files with {n['b']} bytes; the limits are {most_files} and {most_bytes}")
+
+
 def unchanged(listing: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits a listing by (path, size, modified): files to read again, and files whose last row can be reused."""
     key = ["path", "size", "modified"]

@@ -207,3 +207,19 @@ def test_read_modes(spark, tmp_path):
     for name in ("/x", "../x", ""):
         with pytest.raises(ValueError):
             workspace.export(texts, "path", str(tmp_path), name)
+
+
+def test_words_lose_their_marks(spark):
+    df = spark.createDataFrame([("Ångström NAÏVE ø Ắ άλφα Ёлка x\u0301y",)], "t string")
+    from graphloom.functions.text import words
+
+    assert df.select(words(F.col("t")).alias("w")).first()["w"] == ["angstrom", "naive", "o", "a", "αλφα", "елка", "x", "y"]
+
+
+def test_bounds_of_a_scan(spark):
+    files = spark.createDataFrame([("a", 10, "indexed"), ("b", 99, "skipped")], "path string, size long, status string")
+    workspace.check_bounds(files, 2, 10)
+    for bound in ((1, 10), (2, 9)):
+        with pytest.raises(ValueError):
+            workspace.check_bounds(files, *bound)
+    workspace.check_bounds(files.limit(0))
