@@ -293,12 +293,13 @@ def sql_table_uses(spark, d):
     return code.extract_sql(table(spark, d, "file_texts"))
 
 
-@query(f"WITH {NODES} SELECT DISTINCT path || '/Cargo.toml' AS path, name, '1.' || line AS version, ['a', 'b/*'] AS members, ['dep-' || kind, 'tester'] AS dependencies FROM n WHERE kind = 'component' AND path IS NOT NULL")
+@query(f"WITH {NODES} SELECT DISTINCT path || '/Cargo.toml' AS path, name, '1.' || line AS version, 'a, b/*' AS members, 'dep-' || kind || ', tester' AS dependencies FROM n WHERE kind = 'component' AND path IS NOT NULL")
 def manifest_components(spark, d):
     """The tables have no manifests; one is made for each component."""
     c = _nodes(spark, d).filter("kind = 'component' AND path IS NOT NULL")
     text = F.format_string('[package]\nname = "%s"\nversion = "1.%d"\n[workspace]\nmembers = ["a", "b/*"]\n[dependencies]\n"dep-%s" = "1"\n[dev-dependencies]\ntester = { path = "x" }\n', "name", "line", "kind")
-    return code.extract_manifests(c.select(F.concat("path", F.lit("/Cargo.toml")).alias("path"), text.alias("content")))
+    found = code.extract_manifests(c.select(F.concat("path", F.lit("/Cargo.toml")).alias("path"), text.alias("content")))
+    return found.select("path", "name", "version", F.array_join("members", ", ").alias("members"), F.array_join("dependencies", ", ").alias("dependencies"))
 
 
 @query(f"WITH {NODES} SELECT id || '.py' AS path, CASE WHEN is_test THEN 'mutates_table' ELSE 'queries_table' END AS use, 't_' || kind AS name, 2 AS line FROM n")
