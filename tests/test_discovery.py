@@ -121,3 +121,12 @@ def test_code_is_found_without_writing_pairs(spark):
     got = traversal.discovered(g, g.nodes, inbound=False)
     assert got.count() == sum(int(o[1:]) % 2 for _, o, *_ in plain_paths(g, False)) > 1500
     assert rows_written(spark) - before < 500
+
+
+def test_tests_are_found_without_writing_pairs(spark):
+    g = tied_graph(spark)
+    before = rows_written(spark)
+    got = traversal.discovered(g, g.nodes, case=graph.F.col("is_test"))
+    assert got.filter("distance > 0").count() == sum(1 - int(o[1:]) % 2 for _, o, *_ in plain_paths(g, True)) > 1500
+    assert got.filter("distance IS NULL AND other = 'self'").count() == 0
+    assert rows_written(spark) - before < 500
